@@ -7,15 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.common import table
+from quadrille.llm.op05_mix import mixed
+from quadrille.llm.op08_decontaminate import contaminated
+from quadrille.llm.op09_repeats import remove_repeats
 from quadrille.llm.op10_near_dup import near_duplicates
 
 
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_near_dup": op10_near_dup}
+    return {
+        "op5_mix": op5_mix,
+        "op8_decontaminate": op8_decontaminate,
+        "op9_repeats": op9_repeats,
+        "op10_near_dup": op10_near_dup,
+    }
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.common import table
+from quadrille.llm.op01_quality_rules import quality_rules
 from quadrille.llm.op05_mix import mixed
 from quadrille.llm.op08_decontaminate import contaminated
 from quadrille.llm.op09_repeats import remove_repeats
 from quadrille.llm.op10_near_dup import near_duplicates
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
@@ -31,6 +36,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_rules": op1_quality_rules,
         "op5_mix": op5_mix,
         "op8_decontaminate": op8_decontaminate,
         "op9_repeats": op9_repeats,

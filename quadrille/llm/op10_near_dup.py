@@ -5,10 +5,12 @@ Two small collections of ``side`` part keys, each of ``width`` minhashes, stand
 side² tables of 2·width hashes. A pair of similarity s meets with probability (1 - (1 - s^width)^side)², which
 is 1 - 2e-5 at s = 0.8 for the defaults. Every candidate is confirmed on full shingle sets.
 
-Within a table's bucket nobody lists all pairs. Each member is compared with the bucket's smallest member
-(a star). A link between two members is then either implied by the star, or has an end that failed to
-link to its star's centre; those "loose" documents go through an exact prefix-filter join against every
-document that shares a bucket with anyone, so the result is complete whatever the size of the bucket.
+Nobody lists the pairs of a bucket. Documents that share one with anyone are candidates. Two that link also
+share one of their rarest shingles (prefix filter: of n shingles the n - ceil(0.8 n) + 1 rarest, by a table of
+hashed frequencies that orders them alike everywhere), so candidates are joined to the smallest document that
+has such a shingle, and the components of that star graph are families outside of which no link can be. A
+family is dealt into blocks of bounded size and each pair of blocks goes to a task, which counts all overlaps
+on full sets but sends on only links that join what was apart.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from quadrille.llm.common import Words, cut, mix64, row_chunks, text_bytes
 from quadrille.llm.components import components
 
 WIDTH, SIDE = 3, 16
-#: Share of equal sketch bytes under which a pair cannot plausibly reach the threshold (4.9 deviations at 0.8).
-SKETCH_SLACK = 0.2
+#: Shingles that a block of documents has together, about; two blocks are compared in one task.
+BLOCK_TOKENS = 1 << 19
 DF_SLOTS = 1 << 20
 _DF_ROW = 1 << 13
 
@@ -63,8 +65,6 @@ def _signer(k: int, width: int, side: int):
                 for w in range(1, width):
                     key = mix64(key * np.uint64(0x9FB21C651E98DF25) + joined[:, w])
                 parts[some] = key.T
-                sketch = np.zeros((hi - lo, len(mult)), np.uint8)
-                sketch[some] = (mix64(mins) >> np.uint64(56)).astype(np.uint8).T
                 flat = pa.array(parts[:, :side].reshape(-1).view(np.int64)), pa.array(parts[:, side:].reshape(-1).view(np.int64))
                 at = pa.array(np.arange(hi - lo + 1, dtype=np.int32) * side)
                 yield pa.RecordBatch.from_arrays(
@@ -73,15 +73,14 @@ def _signer(k: int, width: int, side: int):
                         pa.array(n.astype(np.int64)),
                         *(pa.array(x.view(np.int64)) for x in total),
                         *(pa.ListArray.from_arrays(at, x) for x in flat),
-                        pa.array([x.tobytes() for x in sketch], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "h1", "h2", "c1", "c2", "sketch"],
+                    ["doc_id", "n_shingles", "h1", "h2", "c1", "c2"],
                 )
 
     return sign
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, c1 array<bigint>, c2 array<bigint>, sketch binary"
+_SIGNED = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, c1 array<bigint>, c2 array<bigint>"
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,31 +102,6 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield lo, hi, np.searchsorted(row, np.arange(hi - lo + 1)), h
 
 
-def _sketch_near(least: float):
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, _ = text_bytes(batch.column(2))
-            b, _ = text_bytes(batch.column(3))
-            share = (a.reshape(batch.num_rows, -1) == b.reshape(batch.num_rows, -1)).mean(axis=1) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(share >= least)], ["a", "b", "near"])
-
-    return near
-
-
-def _confirm(k: int, percent: int):
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one = [h[p[i] : p[i + 1]] for lo, hi, p, h in _sets(batch.column(2), k) for i in range(hi - lo)]
-            two = [h[p[i] : p[i + 1]] for lo, hi, p, h in _sets(batch.column(3), k) for i in range(hi - lo)]
-            linked = []
-            for x, y in zip(one, two, strict=True):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(shared > 0 and 100 * shared >= percent * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    return confirm
-
-
 def _count_df(k: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = np.zeros(DF_SLOTS, np.int64)
@@ -161,31 +135,70 @@ def _prefixes(k: int, percent: int, frequency):
                 keep = place < (n - -(-percent * n // 100) + 1)[row]
                 token, row = h[order][keep], row[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(token.view(np.int64)), pa.array(n[row].astype(np.int64)), batch.column(2).slice(lo, hi - lo).take(pa.array(row))],
-                    ["id", "token", "n", "loose"],
+                    [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), pa.array(token.view(np.int64)), pa.array(n[row].astype(np.int64))],
+                    ["id", "token", "n"],
                 )
 
     return cut_prefix
 
 
-def _confirmed(pairs: DataFrame, signed: DataFrame, packed: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, linked): pairs whose sketches come near are compared on their full sets."""
-    sk = signed.select("doc_id", "sketch")
-    near = (
-        pairs.join(sk.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-        .join(sk.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
-        .select("a", "b", "sa", "sb")
-        .mapInArrow(_sketch_near(percent / 100 - SKETCH_SLACK), "a bigint, b bigint, near boolean")
-    )
-    near = cut(near)
-    full = (
-        near.where("near")
-        .join(packed.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
-        .join(packed.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
-        .select("a", "b", "za", "zb")
-        .mapInArrow(_confirm(k, percent), "a bigint, b bigint, linked boolean")
-    )
-    return full.unionByName(near.where("not near").select("a", "b", F.col("near").alias("linked")))
+def _links_between(ids: list[int], sides: list[int], sets: list[np.ndarray], one_block: bool, percent: int) -> Iterator[tuple[int, int]]:
+    """A forest of the links between two blocks of documents (or inside one), by counting every overlap."""
+    size = np.array([len(x) for x in sets])
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(size) - size
+    seen = np.zeros(int(token.max()) + 1 if len(token) else 0, bool)
+    side = np.array(sides)
+    root = np.arange(len(ids))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for y in range(1, len(ids)):
+        mine = token[begin[y] : begin[y] + size[y]]
+        seen[mine] = True
+        shared = np.add.reduceat(seen[token[: begin[y]]], begin[:y], dtype=np.int64)
+        seen[mine] = False
+        linked = 100 * shared >= percent * (size[:y] + size[y] - shared)
+        if not one_block:
+            linked &= side[:y] != side[y]
+        for x in np.flatnonzero(linked):
+            p, q = find(int(x)), find(y)
+            if p != q:
+                root[q] = p
+                yield ids[x], ids[y]
+
+
+def _linker(k: int, percent: int):
+    """Rows (family, lo, hi, side, id, z) in order of (family, lo, hi) to links."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sides, sets = None, [], [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1:
+                found = list(_links_between(ids, sides, sets, key[1] == key[2], percent))
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+            side, name = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for lo, hi, p, h in _sets(batch.column(5), k):
+                for i in range(lo, hi):
+                    if keys[i] != key:
+                        yield from done()
+                        key, ids, sides, sets = keys[i], [], [], []
+                    ids.append(name[i])
+                    sides.append(side[i])
+                    sets.append(h[p[i - lo] : p[i - lo + 1]])
+        yield from done()
+
+    return link
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, percent: int = 80, width: int = WIDTH, side: int = SIDE) -> DataFrame:
@@ -203,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Equal sets collapse into the one with the smallest id before any table is formed.
     classes = cut(usable.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rid")))
     reps = usable.join(classes.select(F.col("rid").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"])
-    reps = cut(reps.select("doc_id", "n_shingles", "c1", "c2", "sketch"))
+    reps = cut(reps.select("doc_id", "n_shingles", "c1", "c2"))
 
     first = reps.select("doc_id", F.posexplode("c1").alias("i", "k1"))
     shared = first.groupBy("i", "k1").count().where("count > 1").drop("count")
@@ -211,43 +224,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = cut(
         first.join(reps.select("doc_id", "c2"), "doc_id")
         .select("doc_id", "i", "k1", F.posexplode("c2").alias("j", "k2"))
-        .select(F.xxhash64("i", "k1", "j", "k2").alias("key"), F.col("doc_id").alias("b"))
+        .select(F.xxhash64("i", "k1", "j", "k2").alias("key"), F.col("doc_id").alias("id"))
     )
-    centres = keys.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a < z").select("key", "a")
-    star = cut(keys.join(centres, "key").select("a", "b").distinct())
-    pairs = star.where("a < b")
-    members = star.select(F.col("b").alias("id")).distinct()
-
+    # Who shares a bucket of any table has a candidate; the others are done with.
+    met = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("key")
+    members = keys.join(met, "key").select("id").distinct()
     packed = cut(
         texts.join(members.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
         .mapInArrow(_pack, "id bigint, z binary")
     )
-    tested = cut(_confirmed(pairs, reps, packed, shingle, percent))
 
-    loose = tested.where("not linked").select(F.col("b").alias("id")).distinct().withColumn("loose", F.lit(True))
     slots = packed.mapInArrow(_count_df(shingle), "part bigint, slots binary").groupBy("part").applyInPandas(_add_slots, "part bigint, slots binary").collect()
     table = np.zeros(DF_SLOTS, np.int64)
     for x in slots:  # a table of DF_SLOTS counters, whatever the corpus
         table[x["part"] * _DF_ROW : (x["part"] + 1) * _DF_ROW] = np.frombuffer(zstandard.decompress(bytes(x["slots"])), np.int64)
     frequency = spark.sparkContext.broadcast(np.minimum(table, 2**31 - 1).astype(np.int32))
-    prefix = cut(
-        packed.join(loose, "id", "left")
-        .select("id", "z", F.coalesce("loose", F.lit(False)).alias("loose"))
-        .mapInArrow(_prefixes(shingle, percent, frequency), "id bigint, token bigint, n bigint, loose boolean")
-    )
-    left = prefix.where("loose").select("token", F.col("id").alias("x"), F.col("n").alias("nx"))
-    right = prefix.select("token", F.col("id").alias("y"), F.col("n").alias("ny"), "loose")
-    rest = (
-        left.join(right, "token")
-        .where("x != y and (x < y or not loose)")
-        .where(f"100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    prefix = cut(packed.mapInArrow(_prefixes(shingle, percent, frequency), "id bigint, token bigint, n bigint"))
+    centre = prefix.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("token", "a")
+    star = prefix.join(centre, "token").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    roots = components(star)
+    family = cut(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+    tokens = family.join(reps.select(F.col("doc_id").alias("node"), "n_shingles"), "node").groupBy("root").agg(F.ceil(F.sum("n_shingles") / F.lit(BLOCK_TOKENS)).alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = family.join(tokens, "root").select("root", F.col("node").alias("id"), block.alias("side"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("root", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "id").join(packed, "id")
+    links = cut(
+        dealt.select("root", "lo", "hi", "side", "id", "z")
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "root", "lo", "hi")
+        .sortWithinPartitions("root", "lo", "hi")
+        .mapInArrow(_linker(shingle, percent), "a bigint, b bigint")
     )
-    found = tested.unionByName(_confirmed(rest, reps, packed, shingle, percent)).where("linked")
-    roots = components(found)
+    roots = components(links)
 
     ranked = classes.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("h1", "h2", "n_shingles", F.coalesce("root", "rid").alias("root"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(ranked, ["h1", "h2", "n_shingles"], "left")

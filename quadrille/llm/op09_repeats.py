@@ -77,7 +77,10 @@ def _stretches(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarr
         two = part[:-1] | part[1:] << np.uint64(8)
         four = two[:-2] | two[2:] << np.uint64(16)
         eight = four[:-4] | four[4:] << np.uint64(32)
-        h = eight[:-8] * np.uint64(0x9E3779B97F4A7C15) + eight[8:] * np.uint64(0xD6E8FEB86659FD93)
+        m = len(eight) - GRAM + 8
+        h = eight[:m] * np.uint64(0x9E3779B97F4A7C15)
+        for j in range(8, GRAM, 8):
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + eight[j : j + m]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
@@ -136,7 +139,7 @@ def _send_hashes(length: int, buckets: int):
                 several = low != high
                 cuts = list(zip(bounds[:-1], bounds[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[bounds[:-1]]), pa.array(np.full(len(cuts), row["g"])), pa.array([values[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array([np.packbits(several[a:b]).tobytes() for a, b in cuts], pa.binary())],
+                    [pa.array(bucket[bounds[:-1]]), pa.array(np.full(len(cuts), row["g"])), pa.array([values[a:b].astype(np.uint32).tobytes() for a, b in cuts], pa.binary()), pa.array([np.packbits(several[a:b]).tobytes() for a, b in cuts], pa.binary())],
                     ["bucket", "g", "hashes", "several"],
                 )
 
@@ -144,7 +147,8 @@ def _send_hashes(length: int, buckets: int):
 
 
 def _answer_hashes(found: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x, np.uint64) for x in found["hashes"].to_pylist()]
+    """Which hashes several documents have. 32 bits tell a bucket's hashes apart; a rare mistake sends on a stretch in vain."""
+    parts = [np.frombuffer(x, np.uint32) for x in found["hashes"].to_pylist()]
     sizes = [len(x) for x in parts]
     several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(found["several"].to_pylist(), sizes, strict=True)])
     _, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
@@ -205,7 +209,7 @@ def _send_stretches(length: int, buckets: int):
                 for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])), strict=True):
                     lo, hi = np.searchsorted(owner, [a, b])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([at[a]]), pa.array([row["g"]]), *(pa.array([_z(x)], pa.binary()) for x in (h[one[a:b]], size[one[a:b]].astype(np.uint32), buf[_ragged(head[one[a:b]], size[one[a:b]])], (owner[lo:hi] - a).astype(np.uint32), head[places[lo:hi]], doc[lo:hi]))],
+                        [pa.array([at[a]]), pa.array([row["g"]]), *(pa.array([_z(x)], pa.binary()) for x in (h[one[a:b]].astype(np.uint32), size[one[a:b]].astype(np.uint32), buf[_ragged(head[one[a:b]], size[one[a:b]])], (owner[lo:hi] - a).astype(np.uint32), head[places[lo:hi]], doc[lo:hi]))],
                         ["bucket", "g", "keys", "sizes", "text", "owner", "place", "doc"],
                     )
 
@@ -292,7 +296,7 @@ class RunLengthIndex:
 def _mark(length: int):
     def mark(found: pa.Table) -> pa.Table:
         rows = found.select(["keys", "sizes", "text", "owner", "place", "doc"]).to_pylist()
-        keys = np.concatenate([_unz(x["keys"], np.uint64) for x in rows])
+        keys = np.concatenate([_unz(x["keys"], np.uint32) for x in rows])
         sizes = [_unz(x["sizes"], np.uint32).astype(np.int64) for x in rows]
         counts = [len(x) for x in sizes]
         size = np.concatenate(sizes)
@@ -366,7 +370,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packs = cut(texts.mapInArrow(_pack, _PACKED).repartition(parts, "g"))
+    packs = cut(texts.mapInArrow(_pack, _PACKED))
     total = packs.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(parts, -(-total // BUCKET_BYTES))
     flags = (

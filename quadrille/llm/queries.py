@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.common import table
 from quadrille.llm.op01_quality_rules import quality_rules
+from quadrille.llm.op03_language import identify_languages
+from quadrille.llm.op04_quality_classifier import score_quality
 from quadrille.llm.op05_mix import mixed
+from quadrille.llm.op06_warc import read_records, write_archives
+from quadrille.llm.op07_secrets import find_secrets
 from quadrille.llm.op08_decontaminate import contaminated
 from quadrille.llm.op09_repeats import remove_repeats
 from quadrille.llm.op10_near_dup import near_duplicates
@@ -18,10 +22,26 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_records(write_archives(table(spark, sf_dir, "pages"))).drop("url", "payload")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,7 +57,11 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op3_language": op3_language,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_mix": op5_mix,
+        "op6_warc": op6_warc,
+        "op7_secrets": op7_secrets,
         "op8_decontaminate": op8_decontaminate,
         "op9_repeats": op9_repeats,
         "op10_near_dup": op10_near_dup,

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quadrille.llm.common import table
 from quadrille.llm.op01_quality_rules import quality_rules
+from quadrille.llm.op02_token_counts import count_tokens
 from quadrille.llm.op03_language import identify_languages
 from quadrille.llm.op04_quality_classifier import score_quality
 from quadrille.llm.op05_mix import mixed
@@ -22,6 +24,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -57,6 +63,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_token_counts": op2_token_counts,
         "op3_language": op3_language,
         "op4_quality_classifier": op4_quality_classifier,
         "op5_mix": op5_mix,
@@ -65,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_repeats": op9_repeats,
         "op10_near_dup": op10_near_dup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -100,4 +108,7 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM root
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_near_dup": OP10_SQL}
+    found = {"op10_near_dup": OP10_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

@@ -12,6 +12,12 @@ _L = F.lit
 _EPOCH = "1899-12-30"
 
 
+def day_serial(d: Column) -> Column:
+    """Serial number of a date."""
+    days = F.datediff(d, F.to_date(_L(_EPOCH)))
+    return (days - F.when(days <= 60, 1).otherwise(0)).cast("double")
+
+
 def to_serial(d: Column) -> Column:
     """Serial number of a date or timestamp."""
     days = F.datediff(F.to_date(d), F.to_date(_L(_EPOCH)))
@@ -22,8 +28,7 @@ def to_serial(d: Column) -> Column:
 
 def from_serial(x: Column) -> Column:
     """Date of a serial number."""
-    day = F.floor(x).cast("int")
-    return F.when(x >= 0, F.date_add(F.to_date(_L(_EPOCH)), F.when(day < 60, day + 1).otherwise(day)))
+    return F.when(x >= 0, F.date_add(F.to_date(_L(_EPOCH)), (F.floor(x) + (x < 60).cast("int")).cast("int")))
 
 
 def moment_of(x: Column) -> Column:
@@ -48,7 +53,7 @@ _date("MINUTE")(lambda d: _n(F.minute(moment_of(d))))
 _date("SECOND")(lambda d: _n(F.second(moment_of(d))))
 _date("ISOWEEKNUM")(lambda d: _n(F.weekofyear(from_serial(d))))
 _date("DAYS", sig="dd")(lambda e, s: F.floor(e) - F.floor(s))
-_date("TODAY", sig="", returns="date")(lambda: to_serial(F.current_date()))
+_date("TODAY", sig="", returns="date")(lambda: day_serial(F.current_date()))
 _date("NOW", sig="", returns="date")(lambda: to_serial(F.current_timestamp()))
 
 
@@ -61,15 +66,15 @@ def _ymd(d: Column) -> tuple[Column, Column, Column]:
 def date(y: Column, m: Column, d: Column) -> Column:
     y = F.floor(F.when(y < 1900, y + 1900).otherwise(y))
     start = F.add_months(F.try_make_date(y.cast("int"), _L(1), _L(1)) if hasattr(F, "try_make_date") else F.make_date(y.cast("int"), _L(1), _L(1)), (F.floor(m) - 1).cast("int"))
-    return to_serial(F.date_add(start, (F.floor(d) - 1).cast("int")))
+    return day_serial(F.date_add(start, (F.floor(d) - 1).cast("int")))
 
 
 @_date("EDATE", sig="dn", returns="date")
 def edate(d: Column, m: Column) -> Column:
-    return to_serial(F.add_months(from_serial(d), m.cast("int"))) + d - F.floor(d)
+    return day_serial(F.add_months(from_serial(d), m.cast("int"))) + d - F.floor(d)
 
 
-_date("EOMONTH", sig="dn", returns="date")(lambda d, m: to_serial(F.last_day(F.add_months(from_serial(d), m.cast("int")))))
+_date("EOMONTH", sig="dn", returns="date")(lambda d, m: day_serial(F.last_day(F.add_months(from_serial(d), m.cast("int")))))
 _date("TIME", sig="nnn")(lambda h, m, s: F.pmod(F.floor(h) * 3600 + F.floor(m) * 60 + F.floor(s), _L(86400.0)) / 86400)
 
 
@@ -173,7 +178,7 @@ def workday(s: Column, n: Column, weekend: int | str | None = None, holidays: Co
     step = F.signum(n).cast("int")
     days = F.transform(F.sequence(_L(1), reach), lambda i: F.date_add(from_serial(s), i * step))
     found = F.get(F.filter(days, lambda d: is_workday(d, weekend, holidays)), k - 1)
-    return F.when(n == 0, s).otherwise(to_serial(found))
+    return F.when(n == 0, s).otherwise(day_serial(found))
 
 
 _date("NETWORKDAYS", sig="dd|d*")(lambda s, e, *h: networkdays(s, e, None, F.array(*(from_serial(x) for x in h)) if h else None))
@@ -183,7 +188,7 @@ _date("WORKDAY", sig="dn|d*", returns="date")(lambda s, n, *h: workday(s, n, Non
 @_date("DATEVALUE", sig="t", returns="date", err="#VALUE!")
 def datevalue(t: Column) -> Column:
     forms = ("yyyy-M-d", "M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy")
-    return to_serial(F.coalesce(*(F.try_to_date(F.trim(t), f) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.trim(t), _L(f))) for f in forms)))
+    return day_serial(F.coalesce(*(F.try_to_date(F.trim(t), f) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.trim(t), _L(f))) for f in forms)))
 
 
 @_date("TIMEVALUE", sig="t", err="#VALUE!")

@@ -187,9 +187,9 @@ def rate(n: float, pmt: float, pv: float, fv: float = 0.0, due: float = 0.0, gue
     return _root(owed, guess)
 
 
-@fold("NPV", sig="nr")
-def npv(r: float, values: list[float]) -> float:
-    return math.fsum(v / (1 + r) ** (i + 1) for i, v in enumerate(values))
+@fold("NPV", sig="nr*")
+def npv(r: float, *values: list[float]) -> float:
+    return math.fsum(v / (1 + r) ** (i + 1) for i, v in enumerate(x for part in values for x in part))
 
 
 @fold("IRR", sig="r|n")

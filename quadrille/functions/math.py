@@ -188,19 +188,19 @@ aggregate("SUMXMY2", sig="rr", err="#DIV/0!")(lambda x, y: F.sum((x - y) * (x -
 aggregate("PERCENTOF", sig="rr", err="#DIV/0!")(lambda part, whole: F.try_divide(F.coalesce(F.sum(part), _L(0.0)), F.sum(whole)))
 
 
-def _whole(values: list[float]) -> list[int]:
-    out = [math.floor(v) for v in values]
+def _whole(lists: tuple[list[float], ...]) -> list[int]:
+    out = [math.floor(v) for values in lists for v in values]
     if not out or any(v < 0 or v > 2**53 for v in out):
         raise FormulaError("#NUM!")
     return out
 
 
-fold("GCD")(lambda v: float(math.gcd(*_whole(v))))
-fold("LCM")(lambda v: float(math.lcm(*_whole(v))))
+fold("GCD", sig="r*")(lambda *v: float(math.gcd(*_whole(v))))
+fold("LCM", sig="r*")(lambda *v: float(math.lcm(*_whole(v))))
 
 
-@fold("MULTINOMIAL")
-def multinomial(v: list[float]) -> float:
+@fold("MULTINOMIAL", sig="r*")
+def multinomial(*v: list[float]) -> float:
     total, out = 0, 1
     for k in _whole(v):
         total += k
@@ -252,13 +252,6 @@ def arabic(text: str) -> float:
 # -- matrices: arrays of rows ------------------------------------------------------------------
 
 
-@fold("MDETERM", err="#VALUE!")
-def mdeterm(m: list) -> float:
-    import numpy as np
-
-    return float(np.linalg.det(np.array([list(r) for r in m], float)))
-
-
 @scalar("MUNIT", returns="array")
 def munit(n: Column) -> Column:
     side = F.sequence(_L(1), n.cast("int"))

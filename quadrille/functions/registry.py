@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RESULT = {"num": "double", "text": "string", "bool": "boolean", "int": "bigint", "date": "double", "any": "string", "array": "array<double>"}
+RESULT = {"num": "double", "text": "string", "bool": "boolean", "int": "bigint", "date": "double", "any": "string", "array": "array<double>", "matrix": "array<array<double>>"}
 
 
 @dataclass(frozen=True)

@@ -70,7 +70,7 @@ def substitute(t: Column, old: Column, new: Column, which: Column | None = None)
         return everywhere
     parts = F.split(t, F.concat(_L(r"\Q"), old, _L(r"\E")), -1)
     k = which.cast("int")
-    nth = F.concat(F.array_join(F.slice(parts, _L(1), k), F.lit("\x00")), new, F.array_join(F.slice(parts, k + 1, F.size(parts)), F.lit("\x00")))
+    nth = F.concat(F.array_join(F.slice(parts, _L(1), k), "\x00"), new, F.array_join(F.slice(parts, k + 1, F.size(parts)), "\x00"))
     return F.when((old == "") | (F.size(parts) <= k), t).otherwise(F.replace(nth, _L("\x00"), old))
 
 

@@ -45,6 +45,10 @@ def type_of(dtype: T.DataType) -> str:
     return "text"
 
 
+#: Metadata of a text column that stands for cells of several kinds; its numbers count as numbers.
+MIXED = "mixed"
+
+
 @dataclass(frozen=True)
 class Table:
     """A named DataFrame; ``order`` names the columns that give its rows their order (unique together)."""
@@ -67,7 +71,8 @@ class Table:
         return found[0]
 
     def dtype(self, name: str) -> str:
-        return type_of(self.shape.schema[name].dataType)
+        f = self.shape.schema[name]
+        return MIXED if f.metadata.get(MIXED) else type_of(f.dataType)
 
     @property
     def visible(self) -> list[str]:
@@ -81,6 +86,18 @@ class Value:
     err: Column | None = None
     literal: bool = False
     py: object = None
+    frame: DataFrame | None = None  # one row, column v: where the value is a subquery's array
+
+
+def over(v: Value, f: Callable[[Column], Column], kind: str = "array") -> Value:
+    """f of an array value; of a subquery's array inside the subquery, as lambdas cannot hold one."""
+    if v.frame is None:
+        return Value(f(v.col), kind, v.err)
+    return in_frame(v.frame.select(f(F.col("v")).alias("v")), kind, v.err)
+
+
+def in_frame(frame: DataFrame, kind: str = "array", err: Column | None = None) -> Value:
+    return Value(frame.scalar(), kind, err, frame=frame)
 
 
 def _first_error(values: list[Value], own: Column | None = None) -> Column | None:
@@ -99,7 +116,7 @@ def as_number(v: Value) -> Column:
 
 
 def as_text(v: Value) -> Column:
-    if v.type == "text":
+    if v.type in ("text", MIXED):
         return F.coalesce(v.col, F.lit("")) if v.err is None else v.col
     if v.type == "bool":
         return F.when(v.col, "TRUE").when(~v.col, "FALSE")
@@ -113,7 +130,7 @@ def as_text(v: Value) -> Column:
 def as_bool(v: Value) -> Column:
     if v.type == "bool":
         return v.col
-    if v.type == "text":
+    if v.type in ("text", MIXED):
         t = F.upper(F.trim(v.col))
         return F.when(t == "TRUE", True).when(t == "FALSE", False).otherwise(t.try_cast("double") != 0)
     return F.coalesce(as_number(v), F.lit(0.0)) != 0
@@ -123,7 +140,7 @@ def coerced(v: Value, letter: str) -> Column:
     if letter in "nd":
         # A blank counts as zero; text that is no number stays NULL.
         x = as_number(v)
-        return x if v.literal or v.err is not None or v.type == "text" else F.coalesce(x, F.lit(0.0))
+        return x if v.literal or v.err is not None or v.type in ("text", MIXED) else F.coalesce(x, F.lit(0.0))
     return {"t": as_text, "b": as_bool}.get(letter, lambda v: v.col)(v)
 
 
@@ -133,6 +150,7 @@ class Context:
     current: Table | None = None
     grouped: bool = False
     names: dict[str, Value] = field(default_factory=dict)
+    pivots: dict[str, tuple[DataFrame, object]] = field(default_factory=dict)  # cells and spec by name
     scope: Table | None = None  # the table whose rows an aggregate's argument ranges over
 
     def table(self, name: str | None) -> Table:
@@ -250,6 +268,8 @@ class Compiler:
                 return self.row_value(table, inner)
             case fx.Structured() | fx.CellRange():
                 return self.range_value(node)
+            case fx.Unary("-", fx.Literal(float(x))):
+                return Value(F.lit(-x), "num", literal=True, py=-x)
             case fx.Unary(op, arg):
                 v = self.value(arg)
                 x = as_number(v)
@@ -295,6 +315,11 @@ class Compiler:
     def compare(self, op: str, a: Value, b: Value) -> Column:
         """Blank counts as the other side's empty value; number < text < truth value; text without case, hyphens last."""
         rank = {"num": 1, "date": 1, "text": 2, "bool": 3, "array": 2}
+        # A cell of any kind is taken as what it is compared with.
+        if MIXED in (a.type, b.type):
+            other = ({a.type, b.type} - {MIXED} or {"text"}).pop()
+            as_other = {"num": as_number, "date": as_number, "bool": as_bool}.get(other, as_text)
+            a, b = (Value(as_other(v), "num" if other == "date" else other, v.err) if v.type == MIXED else v for v in (a, b))
         if rank[a.type] != rank[b.type]:
             if a.literal and a.py is None or b.literal and b.py is None:
                 a, b = (replace(v, type=w.type, col=F.lit({"text": "", "bool": False}.get(w.type, 0.0))) if v.literal and v.py is None else v for v, w in ((a, b), (b, a)))
@@ -327,7 +352,13 @@ class Compiler:
             collected = F.flatten(collected)
         if self.ctx.grouped:
             return Value(collected, "array")
-        return Value(df.select(collected.alias("v")).scalar(), "array")
+        return in_frame(df.select(collected.alias("v")))
+
+    def resolved(self, node: fx.Node) -> fx.Node:
+        """INDIRECT and OFFSET as the references they are."""
+        if isinstance(node, fx.Call) and node.name in ("INDIRECT", "OFFSET"):
+            return {"INDIRECT": indirect, "OFFSET": offset}[node.name](self, *node.args)
+        return node
 
     @staticmethod
     def ordered(table: Table, x: Column) -> Column:
@@ -387,7 +418,10 @@ class Compiler:
         while columns and values[-1].literal and values[-1].py is None and len(columns) > len(found.required):
             columns.pop()
             values.pop()
-        out = found.build(*columns)
+        if found.kind == "scalar" and "d" in letters and any(isinstance(a, (fx.Call, fx.Binary)) for a in args):
+            out = bound_once(found.build, columns)
+        else:
+            out = found.build(*columns)
         if found.returns in ("num", "date") and found.kind == "scalar":
             out = finite(out.cast("double"))
         known = [c.isNotNull() for c, v in zip(columns, values, strict=True) if not v.literal]
@@ -399,10 +433,12 @@ class Compiler:
 
     def aggregate(self, name: str, args: tuple[fx.Node, ...], where: Callable[[Table], Column] | None = None) -> Value:
         """An aggregate of ranges and values, as a Column of a grouping or as a subquery."""
-        if len(args) == 1 and not self.tables_in(args[0]) and name in _ARRAY_FORMS:
+        args = tuple(map(self.resolved, args))
+        forms = isinstance(args[0], fx.Call) and args[0].name in _ARRAY_CALLS if args else False
+        if len(args) == 1 and name in _ARRAY_FORMS and (forms or not self.tables_in(args[0])):
             v = self.value(args[0])
             if v.type == "array":
-                return Value(_ARRAY_FORMS[name](v.col), "num", v.err)
+                return over(v, _ARRAY_FORMS[name], "num")
         found = FUNCTIONS.get(name)
         tables = [t for a in args for t in self.tables_in(a)]
         if not tables:
@@ -468,9 +504,12 @@ class Compiler:
         if name in ("COUNTA", "COUNTBLANK"):
             return v.col
         if name in _TEXT_AS_ZERO:
-            return {"text": F.when(v.col.isNotNull(), F.lit(0.0)), "bool": v.col.cast("double")}.get(v.type, as_number(v))
+            zero = F.when(v.col.isNotNull(), F.lit(0.0))
+            return {"text": zero, "bool": v.col.cast("double"), MIXED: F.coalesce(v.col.try_cast("double"), zero)}.get(v.type, as_number(v))
         if v.type in ("text", "bool"):
             return F.lit(None).cast("double")
+        if v.type == MIXED:
+            return v.col.try_cast("double")
         return as_number(v) if v.type != "array" else v.col
 
     @staticmethod
@@ -491,7 +530,7 @@ class Compiler:
         letters = found.letters(len(values))
         if found.kind == "fold" and set(letters) == {"r"}:
             return Value(found.build(F.concat(*(v.col if v.type == "array" else F.array(as_number(v)) for v in values))), found.returns, _first_error(values))
-        columns = [v.col if x in "ro" else coerced(v, x) for v, x in zip(values, letters, strict=True)]
+        columns = [(v.col if v.type == "array" else F.array(as_number(v))) if x in "ro" else coerced(v, x) for v, x in zip(values, letters, strict=True)]
         if found.kind == "fold" or "o" in letters:
             out = found.build(*columns)
             return Value(out, found.returns, _first_error(values, F.when(out.isNull(), F.lit(found.err))))
@@ -620,6 +659,12 @@ class Compiler:
         return Value(one["v"], dtype, F.when(one["hit"].isNull(), F.lit("#N/A")))
 
 
+def bound_once(build: Callable[..., Column], columns: list[Column]) -> Column:
+    """build(*columns), with each argument computed once: date functions use theirs many times over."""
+    row = F.struct(*(c.alias(f"c{i}") for i, c in enumerate(columns)))
+    return F.transform(F.array(row), lambda s: build(*(s[f"c{i}"] for i in range(len(columns)))))[0]
+
+
 def database_predicate(table: Table, criteria: DataFrame) -> Column:
     """Rows of the table that meet one of the criteria's rows in all its cells; a column it has not meets nothing."""
     out = None
@@ -647,6 +692,8 @@ _ARRAY_FORMS: dict[str, Callable[[Column], Column]] = {
     "SUMSQ": lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x),
     "MEDIAN": lambda a: (F.get(F.array_sort(a), F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(F.array_sort(a), F.floor(F.size(a) / 2).cast("int"))) / 2,
 }
+#: Calls that make arrays of their ranges.
+_ARRAY_CALLS = ("MAP", "SCAN", "BYROW", "BYCOL", "SLICE", "MAKEARRAY", "SEQUENCE", "RANDARRAY", "FREQUENCY", "LINEST", "MODE.MULT")
 _FORMS: dict[str, Callable[..., Value]] = {}
 
 
@@ -752,7 +799,7 @@ def _t(c: Compiler, node: fx.Node) -> Value:
 @form("TYPE")
 def _type(c: Compiler, node: fx.Node) -> Value:
     v = c.value(node)
-    code = 64.0 if c.is_range(node) and v.type == "array" else {"num": 1.0, "date": 1.0, "text": 2.0, "bool": 4.0, "array": 64.0}[v.type]
+    code = 64.0 if c.is_range(node) and v.type == "array" else {"num": 1.0, "date": 1.0, "text": 2.0, MIXED: 2.0, "bool": 4.0, "array": 64.0}[v.type]
     return Value(F.when(error_of(v).isNotNull(), F.lit(16.0)).otherwise(F.lit(code)), "num")
 
 
@@ -796,7 +843,13 @@ def _map(c: Compiler, *args: fx.Node) -> Value:
     names, body = c.lambda_of(args[-1])
     arrays = [c.array_of(a) for a in args[:-1]]
     if len(arrays) == 1:
-        return Value(F.transform(arrays[0].col, lambda x: c.bound(names, [_element(arrays[0], x)], body).col), "array", arrays[0].err)
+        return over(arrays[0], lambda a: F.transform(a, lambda x: c.bound(names, [_element(arrays[0], x)], body).col))
+    frames = [a for a in arrays if a.frame is not None]
+    if frames:
+        spark = frames[0].frame.sparkSession
+        row = spark.range(1).select(F.arrays_zip(*(a.col.alias(f"a{i}") for i, a in enumerate(arrays))).alias("v"))
+        each = lambda s: c.bound(names, [_element(a, s[str(i)]) for i, a in enumerate(arrays)], body).col
+        return over(in_frame(row), lambda v: F.transform(v, each))
     zipped = F.arrays_zip(*(a.col.alias(f"a{i}") for i, a in enumerate(arrays)))
     return Value(F.transform(zipped, lambda s: c.bound(names, [_element(a, s[str(i)]) for i, a in enumerate(arrays)], body).col), "array", _first_error(arrays))
 
@@ -805,11 +858,11 @@ def _map(c: Compiler, *args: fx.Node) -> Value:
 def _reduce(c: Compiler, *args: fx.Node) -> Value:
     names, body = c.lambda_of(args[-1])
     array = c.array_of(args[-2])
+    step = lambda a, x: c.bound(names, [Value(a, "num"), Value(x, "num")], body).col.cast("double")
     if len(args) == 3:
-        start, rest = coerced(c.value(args[0]), "n"), array.col
-    else:
-        start, rest = F.get(array.col, F.lit(0)), F.slice(array.col, F.lit(2), F.size(array.col))
-    return Value(F.aggregate(rest, start.cast("double"), lambda a, x: c.bound(names, [Value(a, "num"), Value(x, "num")], body).col.cast("double")), "num", array.err)
+        start = coerced(c.value(args[0]), "n").cast("double")
+        return over(array, lambda v: F.aggregate(v, start, step), "num")
+    return over(array, lambda v: F.aggregate(F.slice(v, F.lit(2), F.size(v)), F.get(v, F.lit(0)).cast("double"), step), "num")
 
 
 @form("SCAN")
@@ -825,9 +878,8 @@ def _scan(c: Compiler, *args: fx.Node) -> Value:
         return F.concat(done, F.array(new))
 
     if start is None:
-        first = F.slice(array.col, 1, 1).cast("array<double>")
-        return Value(F.aggregate(F.slice(array.col, F.lit(2), F.size(array.col)), first, step), "array", array.err)
-    return Value(F.aggregate(array.col, empty, step), "array", array.err)
+        return over(array, lambda v: F.aggregate(F.slice(v, F.lit(2), F.size(v)), F.slice(v, 1, 1).cast("array<double>"), step))
+    return over(array, lambda v: F.aggregate(v, empty, step))
 
 
 @form("BYROW")
@@ -837,8 +889,8 @@ def _byrow(c: Compiler, data: fx.Node, function: fx.Node) -> Value:
     row = F.array(*(F.col(f"`{x}`").cast("double") for x in columns))
     if c.ctx.current is not None and c.ctx.current.name == table.name:
         return c.bound(names, [Value(row, "array")], body)
-    rows = table.df.select(c.ordered(table, row).alias("v")).scalar()
-    return Value(F.transform(rows, lambda r: c.bound(names, [Value(r, "array")], body).col), "array")
+    rows = in_frame(table.df.select(c.ordered(table, row).alias("v")))
+    return over(rows, lambda v: F.transform(v, lambda r: c.bound(names, [Value(r, "array")], body).col))
 
 
 @form("BYCOL")
@@ -846,7 +898,9 @@ def _bycol(c: Compiler, data: fx.Node, function: fx.Node) -> Value:
     names, body = c.lambda_of(function)
     table, columns, _ = c.range_of(data)
     each = [c.value(fx.substitute(body, {names[0]: fx.Structured(table.name, (x,))})) for x in columns]
-    return Value(F.array(*(as_number(v) for v in each)), "array", _first_error(each))
+    if table.df is c.ctx.scope or c.ctx.grouped:
+        return Value(F.array(*(as_number(v) for v in each)), "array", _first_error(each))
+    return in_frame(table.df.sparkSession.range(1).select(F.array(*(as_number(v) for v in each)).alias("v")))
 
 
 @form("MAKEARRAY")
@@ -1009,6 +1063,86 @@ def offset(c: Compiler, node: fx.Node, rows: fx.Node, cols: fx.Node, height: fx.
     return fx.CellRange(node.sheet, letters(left), top, letters(left + w - 1), top + h - 1)
 
 
+@form("GET")
+def _get(c: Compiler, *args: fx.Node) -> Value:
+    """Cell by row and column from 0, of a sheet or the current table."""
+    sheet = str(c.value(args[0]).py) if len(args) == 3 else None
+    table = c.ctx.table(sheet)
+    row, col = (int(c.value(a).py) for a in args[-2:])
+    name = table.visible[col]
+    return Value(F.get(table.df.select(c.ordered(table, F.struct(F.col(f"`{name}`").alias("v")))).scalar(), F.lit(row))["v"], table.dtype(name))
+
+
+@form("GET_COL_IDX")
+def _get_col_idx(c: Compiler, *args: fx.Node) -> Value:
+    table = c.ctx.table(str(c.value(args[0]).py) if len(args) == 2 else None)
+    return c.value(fx.Structured(table.name, (table.visible[int(c.value(args[-1]).py)],)))
+
+
+@form("GETPIVOTDATA")
+def _getpivotdata(c: Compiler, value: fx.Node, name: fx.Node, *items: fx.Node) -> Value:
+    from quadrille.operators.pivot import get_pivot_data
+
+    held = c.ctx.pivots.get(str(c.value(name).py if not isinstance(name, fx.Name) else name.name).lower())
+    if held is None:
+        return Value(F.lit(None).cast("double"), "num", F.lit("#REF!"))
+    pairs = {str(c.value(a).py): c.value(b).py for a, b in zip(items[::2], items[1::2], strict=True)}
+    pairs = {k: int(v) if isinstance(v, float) and v == int(v) else v for k, v in pairs.items()}
+    one = get_pivot_data(held[0], held[1], str(c.value(value).py), **pairs).select(F.max("value")).scalar()
+    return Value(one, "num", F.when(one.isNull(), F.lit("#REF!")))
+
+
+# -- matrices --------------------------------------------------------------------------------------
+
+
+def matrix_of(c: Compiler, node: fx.Node) -> Column:
+    """Rows of numbers: of a literal, a range of a spreadsheet's size, or another matrix function."""
+    if isinstance(node, fx.Array):
+        return F.array(*(F.array(*(as_number(c.value(x)).cast("double") for x in row)) for row in node.rows))
+    if c.is_range(node):
+        table, columns, rows = c.range_of(node)
+        df = table.df if rows is None else table.df.where(rows)
+        row = F.array(*(as_number(Value(F.col(f"`{x}`"), table.dtype(x))).cast("double") for x in columns))
+        return df.select(c.ordered(table, row)).scalar()
+    v = c.value(node)
+    return v.col
+
+
+def _matrix(name: str, f: Callable, returns: str) -> None:
+    from quadrille.functions.registry import arrow_udf
+
+    def build(c: Compiler, *args: fx.Node) -> Value:
+        out = arrow_udf(lambda *m: f(*([list(r) for r in x] for x in m)), returns)(*(matrix_of(c, a) for a in args))
+        return Value(out, "num" if returns == "num" else "array", F.when(out.isNull(), F.lit("#VALUE!" if name == "MMULT" else "#NUM!")))
+
+    _FORMS[name] = build
+
+
+def _product(a: list, b: list) -> list:
+    if len(a[0]) != len(b):
+        raise ValueError("shapes differ")
+    return [[float(sum(x * y for x, y in zip(r, k, strict=True))) for k in zip(*b, strict=True)] for r in a]
+
+
+def _inverse(m: list) -> list:
+    import numpy as np
+
+    if abs(np.linalg.det(np.array(m))) < 1e-300:
+        raise ValueError("singular")
+    return np.linalg.inv(np.array(m)).tolist()
+
+
+def _determinant(m: list) -> float:
+    import numpy as np
+
+    return float(np.linalg.det(np.array(m)))
+
+
+_matrix("MMULT", _product, "matrix")
+_matrix("MINVERSE", _inverse, "matrix")
+_matrix("MDETERM", _determinant, "num")
+
+
 def _days_off(c: Compiler, weekend: fx.Node | None, holidays: fx.Node | None):
     spec = c.value(weekend).py if weekend is not None else None
     days = None if holidays is None else F.transform(c.array_of(holidays).col, lambda x: from_serial(x))
@@ -1039,8 +1173,12 @@ def _get_col(c: Compiler, table: fx.Node, name: fx.Node) -> Value:
 def _slice(c: Compiler, data: fx.Node, start: fx.Node, end: fx.Node) -> Value:
     v = c.array_of(data)
     a, b = (as_number(c.value(x)).cast("int") for x in (start, end))
-    stop = F.when(b < 0, F.size(v.col) + b + 1).otherwise(F.least(b, F.size(v.col)))
-    return Value(F.slice(v.col, a + 1, F.greatest(stop - a, F.lit(0))), "array", v.err)
+
+    def part(x: Column) -> Column:
+        stop = F.when(b < 0, F.size(x) + b + 1).otherwise(F.least(b, F.size(x)))
+        return F.slice(x, a + 1, F.greatest(stop - a, F.lit(0)))
+
+    return over(v, part)
 
 
 @form("HLOOKUP")

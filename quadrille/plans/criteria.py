@@ -43,6 +43,15 @@ def criterion(column: Column, dtype: str, value: float | str | bool | None) -> C
     Numbers are compared with numbers only; text is equal without regard to case, * and ? stand for any
     characters. A bound of an order comparison that is no number counts as 0. Blanks meet only "=", "" and "<>…".
     """
+    if dtype == "mixed":
+        number = column.try_cast("double")
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            return criterion(number, "num", value)
+        text = str(value or "")
+        op = next((o for o in _OPS if text.startswith(o)), "")
+        if op in ("<", ">", "<=", ">=") or _number(text[len(op) :]) is not None:
+            return criterion(number, "num", text)
+        return criterion(column, "text", text)
     if value is None:
         value = ""
     if isinstance(value, bool):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quadrille.operators import relational as rel
 from quadrille.operators.pivot import PivotSpec, grid, pivot
 from quadrille.plans import formula as fx
-from quadrille.plans.compiler import CompileError, Compiler, Context, Table, Value, error_of, indirect, offset
+from quadrille.plans.compiler import MIXED, CompileError, Compiler, Context, Table, Value, error_of, indirect, offset
 
 
 class Workbook:
@@ -40,7 +40,7 @@ class Workbook:
         return self
 
     def sheet(self, name: str, rows: list[list[object]], header: bool = False) -> Workbook:
-        """Add a small grid; columns are A, B, … or the header row's names. Mixed columns become text."""
+        """Add a small grid; columns are A, B, … or the header row's names. A mixed column is kept as text whose numbers count as numbers."""
         names = [str(c) for c in rows[0]] if header else [_letters(i + 1) for i in range(max(map(len, rows)))]
         body = rows[1:] if header else rows
         cells = [[r[i] if i < len(r) else None for r in body] for i in range(len(names))]
@@ -48,10 +48,14 @@ class Workbook:
         for column in cells:
             found = {type(v) for v in column if v is not None}
             kinds.append("boolean" if found == {bool} else "double" if found and found <= {int, float} else "string")
-        cast = {"boolean": bool, "double": float, "string": str}
+        cast = {"boolean": bool, "double": float, "string": _shown}
+        mixed = [k == "string" and {type(v) for v in column if v is not None} != {str} for k, column in zip(kinds, cells, strict=True)]
         data = [(i, *(None if v is None else cast[k](v) for v, k in zip(r, kinds, strict=True))) for i, r in enumerate(zip(*cells, strict=True))]
         schema = "_r bigint, " + ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))
-        return self.add(name, self.spark.createDataFrame(data, schema), "_r", letters=not header)
+        df = self.spark.createDataFrame(data, schema)
+        for n, m in zip(names, mixed, strict=True):
+            df = df.withMetadata(n, {MIXED: True}) if m else df
+        return self.add(name, df, "_r", letters=not header)
 
     def table(self, name: str) -> Table:
         if name.lower() not in self.tables:
@@ -101,7 +105,8 @@ class Workbook:
     # -- formulas --------------------------------------------------------------------------------
 
     def compiler(self, table: str | None = None, grouped: bool = False) -> Compiler:
-        return Compiler(Context(self.tables, self.table(table) if table else None, grouped))
+        cells = {k.lower(): (self.pivot(k), spec) for k, (_, spec) in self.pivots.items()}
+        return Compiler(Context(self.tables, self.table(table) if table else None, grouped, pivots=cells))
 
     def _lanes(self, name: str, v: Value) -> list[Column]:
         out = [v.col.alias(name)]
@@ -195,6 +200,13 @@ class Workbook:
         return grid(self[table], spec, list(self.table(table).order) or None)
 
 
+def _shown(v: object) -> str:
+    """A cell of a mixed column as text."""
+    if isinstance(v, bool):
+        return str(v).upper()
+    return str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
+
+
 def _letters(n: int) -> str:
     out = ""
     while n:

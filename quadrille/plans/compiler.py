@@ -151,6 +151,7 @@ class Context:
     grouped: bool = False
     names: dict[str, Value] = field(default_factory=dict)
     pivots: dict[str, tuple[DataFrame, object]] = field(default_factory=dict)  # cells and spec by name
+    outer: set[str] = field(default_factory=set)  # columns of the row outside that a subquery on the same table uses
     scope: Table | None = None  # the table whose rows an aggregate's argument ranges over
 
     def table(self, name: str | None) -> Table:
@@ -264,7 +265,11 @@ class Compiler:
                 table = self.ctx.table(node.table)
                 saved, inner = self.ctx.current, table.column(node.columns[0])
                 if saved is not None and table.name == saved.name and self.ctx.scope is not None:
-                    return Value(F.col(f"`{inner}`").outer(), table.dtype(inner))
+                    if self.ctx.scope.name != table.name:
+                        return Value(F.col(f"`{inner}`").outer(), table.dtype(inner))
+                    # Under its own name it would be the inner row's; with_columns adds it under this one.
+                    self.ctx.outer.add(inner)
+                    return Value(F.col(f"`_outer_{inner}`").outer(), table.dtype(inner))
                 return self.row_value(table, inner)
             case fx.Structured() | fx.CellRange():
                 return self.range_value(node)
@@ -481,7 +486,7 @@ class Compiler:
         own = F.when(out.isNull(), F.lit(found.err if found else "#VALUE!"))
         if inline:
             return Value(out, returns, F.coalesce(err, own))
-        one = table.df.select(F.struct(out.alias("v"), F.coalesce(err, own).alias("e")).alias("b")).scalar()
+        one = self.rows_of(table).select(F.struct(out.alias("v"), F.coalesce(err, own).alias("e")).alias("b")).scalar()
         return Value(one["v"], returns, one["e"])
 
     def width(self, node: fx.Node) -> int:
@@ -583,7 +588,8 @@ class Compiler:
             return self.aggregate(_CONDITIONAL[name], (target,), self.condition(pairs))
         saved, self.ctx.scope = self.ctx.scope, table
         try:
-            chosen = table.df.where(self.condition(fixed)(table)) if fixed else table.df
+            chosen = self.rows_of(table)
+            chosen = chosen.where(self.condition(fixed)(table)) if fixed else chosen
             # Equalities with another row's values are the subquery's correlation.
             chosen = chosen.where(self.condition(loose)(table)) if loose else chosen
         finally:
@@ -595,8 +601,14 @@ class Compiler:
         # A correlated subquery without rows gives NULL, not the aggregate of nothing.
         return Value(F.coalesce(v.col, F.lit(0.0)), "num") if name[:3] in ("SUM", "MAX", "MIN") else Value(v.col, "num", F.when(v.col.isNull(), F.lit("#DIV/0!")))
 
+    def rows_of(self, table: Table) -> DataFrame:
+        """The table's rows for a subquery; of the current table a copy whose columns are not those of the row outside."""
+        if table.whole is not None or self.ctx.current is None or self.ctx.current.name != table.name:
+            return table.df
+        return table.df.select(*(F.col(f"`{c}`").alias(c) for c in table.df.columns))
+
     def narrowed(self, table: Table, df: DataFrame) -> Context:
-        return Context({**self.ctx.tables, table.name.lower(): replace(table, df=df, whole=table.shape)}, self.ctx.current, False, self.ctx.names)
+        return Context({**self.ctx.tables, table.name.lower(): replace(table, df=df, whole=table.shape)}, self.ctx.current, False, self.ctx.names, self.ctx.pivots, self.ctx.outer)
 
     def is_fixed(self, node: fx.Node) -> bool:
         return self.value(node).literal
@@ -633,7 +645,7 @@ class Compiler:
             outer = want.col if want.literal else self.value(key).col
         finally:
             self.ctx.scope = saved
-        df = table.df if rows is None else table.df.where(rows)
+        df = self.rows_of(table) if rows is None else self.rows_of(table).where(rows)
         order = F.struct(*(F.col(f"`{c}`") for c in table.order)) if table.order else F.lit(0)
         if target is None:
             if not table.order:

@@ -132,7 +132,8 @@ class Workbook:
             # Columns of one step are added in one projection.
             added = [c for n in ready for c in self._lanes(n, compiler.value(trees[n]))]
             gone = {n.lower() for n in ready}
-            df = df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone), *added)
+            outer = {f"_outer_{c}": F.col(f"`{c}`") for c in compiler.ctx.outer}
+            df = (df.withColumns(outer) if outer else df).select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone), *added)
             for n in ready:
                 del left[n]
         return df

@@ -16,7 +16,7 @@ from quadrille.workbook import Workbook
 @pytest.fixture(scope="module")
 def fuzz(spark):
     r = random.Random(7)
-    rows = [(i, r.choice(["a", "b", "c", None]), r.choice(["East", "east", "WEST", "west", "North"]), r.choice(["10", "9", "x", ""]), r.randint(-100, 100) if r.random() < 0.9 else None) for i in range(300)]
+    rows = [(i, r.choice(["a", "b", "c", None]), r.choice(["East", "east", "WEST", "west", "North"]), r.choice(["10", "9", "x", ""]), float(r.randint(-100, 100)) if r.random() < 0.9 else None) for i in range(300)]
     return rows, spark.createDataFrame(rows, "_r long, Cat string, Mixed string, NumStr string, Amount double")
 
 

@@ -78,7 +78,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A-Z are lower-cased; words are runs of non-space characters. Items of fewer than ``shingle`` words count as
     one shingle; wordless or null items and texts match nothing; a text shorter than an item matches as a whole
-    window. Of equal best windows the first is reported. Rows that repeat an id are one document here. Empty
+    window. Of equal best windows among those
+    lined up with the item, the first is reported. Rows that repeat an id are one document here. Empty
     tables give an empty result. Items may have up to 65,535 words.
     """
     lower = lambda c: words_column(F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), _UPPER, _LOWER))

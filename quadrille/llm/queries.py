@@ -49,7 +49,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "item_id", "similarity")
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,12 +103,32 @@ roots AS (SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, min(r.reach) AS comp
           FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.sh)"""
 
 
+_LOWER_WORDS = words_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")
+
+# A digest's 160 bits are 32 digits of five bits; five hexadecimal digits hold four of them.
+OP6_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest FROM p),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM l"""
+
+# Every window of an item's size in every document that shares a shingle with it.
+OP8_SQL = f"""
+WITH i AS (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark), i5 AS (SELECT item_id, w, len(w) AS n, list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) AS sh FROM i WHERE len(w) >= 5),
+d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents), d5 AS (SELECT doc_id, list_transform(range(1, greatest(len(w) - 3, 1)), lambda k: array_to_string(w[k:k + 4], ' ')) AS sh FROM d),
+seeds AS (SELECT item_id, n, unnest(sh) AS g FROM i5), hits AS (SELECT doc_id, unnest(sh) AS g FROM d5),
+pairs AS (SELECT DISTINCT doc_id, item_id FROM hits JOIN seeds USING (g)),
+starts AS (SELECT doc_id, item_id, i5.sh AS a, d5.sh AS b, unnest(range(0, greatest(len(d5.sh) - (i5.n - 4), 0) + 1)) AS s, i5.n - 4 AS k FROM pairs JOIN i5 USING (item_id) JOIN d5 USING (doc_id)),
+sims AS (SELECT doc_id, item_id, s, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b[s + 1:s + k], lambda y: y = x))))) AS shared, len(a) + len(b[s + 1:s + k]) AS total FROM starts)
+SELECT doc_id, item_id, max(shared::DOUBLE / (total - shared)) AS similarity FROM sims WHERE shared >= 0.8 * (total - shared) GROUP BY doc_id, item_id"""
+
 OP10_SQL = f"""WITH RECURSIVE {near_dup_ctes("documents", 4, 80)}
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM roots"""
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op10_near_dup": OP10_SQL}
+    found = {"op6_warc": OP6_SQL, "op8_decontaminate": OP8_SQL, "op10_near_dup": OP10_SQL}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found

@@ -65,7 +65,7 @@ def _ymd(d: Column) -> tuple[Column, Column, Column]:
 @_date("DATE", sig="nnn", returns="date")
 def date(y: Column, m: Column, d: Column) -> Column:
     y = F.floor(F.when(y < 1900, y + 1900).otherwise(y))
-    start = F.add_months(F.try_make_date(y.cast("int"), _L(1), _L(1)) if hasattr(F, "try_make_date") else F.make_date(y.cast("int"), _L(1), _L(1)), (F.floor(m) - 1).cast("int"))
+    start = F.add_months(F.make_date(y.cast("int"), _L(1), _L(1)), (F.floor(m) - 1).cast("int"))
     return day_serial(F.date_add(start, (F.floor(d) - 1).cast("int")))
 
 
@@ -188,7 +188,7 @@ _date("WORKDAY", sig="dn|d*", returns="date")(lambda s, n, *h: workday(s, n, Non
 @_date("DATEVALUE", sig="t", returns="date", err="#VALUE!")
 def datevalue(t: Column) -> Column:
     forms = ("yyyy-M-d", "M/d/yyyy", "yyyy/M/d", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy")
-    return day_serial(F.coalesce(*(F.try_to_date(F.trim(t), f) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(F.trim(t), _L(f))) for f in forms)))
+    return day_serial(F.coalesce(*(F.try_to_date(F.trim(t), f) for f in forms)))
 
 
 @_date("TIMEVALUE", sig="t", err="#VALUE!")

@@ -1,8 +1,9 @@
 """Benchmark decontamination with SimHash windows, in DataFrame operations only.
 
-A document's word shingles are hashed in place. Where one is in the benchmark's bitmap, the passage around it
-is lined up with each item that has the shingle (an equality join), which gives windows of exactly the item's
-size; a window without any shingle of an item cannot be similar to it, so nothing is lost. Each window gets a
+A document's word shingles are hashed in place. Those in the benchmark's bitmap are joined with the item sizes
+that have them (an equality join), and every window of an item's size that begins with such a shingle and holds
+as many as the similarity takes is looked at, in whatever order they stand. A window that begins with another
+shingle is no better than the next one, and the last window of a text is looked at too. Each window gets a
 64-bit SimHash. Fingerprints are cut into ``radius + 1`` blocks; two that differ in at most ``radius`` bits agree
 in one block at least, so joining on (item size, block, value) gives every item within the radius. Candidates
 are then compared exactly, by the weighted Jaccard similarity of their shingles (weight: number of
@@ -78,8 +79,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A-Z are lower-cased; words are runs of non-space characters. Items of fewer than ``shingle`` words count as
     one shingle; wordless or null items and texts match nothing; a text shorter than an item matches as a whole
-    window. Of equal best windows among those
-    lined up with the item, the first is reported. Rows that repeat an id are one document here. Empty
+    window. Of equal best windows that begin with
+    a shared shingle or end with the text, the first is reported. Windows of a passage are about a ninth of its
+    length, so the work grows with the square of an item's words. Rows that repeat an id are one document here. Empty
     tables give an empty result. Items may have up to 65,535 words.
     """
     lower = lambda c: words_column(F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), _UPPER, _LOWER))
@@ -99,7 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _contaminated(texts: DataFrame, items: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
     items = cut(items.select("item_id", "len", _hashes(F.col("words"), k).alias("hashes")))
     seeds = items.select("item_id", "len", F.posexplode("hashes").alias("at", "hash"))
-    longest, n = items.agg(F.max("len"), F.sum(F.size("hashes"))).first()
+    n = items.agg(F.sum(F.size("hashes"))).first()[0]
 
     hashed = texts.select("doc_id", F.explode(F.array(_hashes(F.col("words"), k))).alias("hashes")).where(F.size("hashes") > 0)
     bits = 1 << max(10, (BITS_PER_SHINGLE * n - 1).bit_length())
@@ -120,13 +122,24 @@ def _contaminated(texts: DataFrame, items: DataFrame, k: int, similarity: float,
     else:  # a benchmark of that size is joined with every shingle instead
         maybe = F.transform(F.col("hashes"), lambda h, i: i)
 
-    hits = hashed.select("doc_id", "hashes", F.explode(maybe).alias("pos"))
-    # A hit carries the shingles of any window that can contain it, at most twice the longest item.
-    begin = F.greatest(F.col("pos") - longest, F.lit(0))
-    near = hits.select("doc_id", "pos", begin.alias("begin"), F.size("hashes").alias("total"), F.element_at("hashes", F.col("pos") + 1).alias("hash"), F.slice("hashes", begin + 1, F.lit(2 * longest)).alias("around"))
-    start = F.greatest(F.least(F.col("pos") - F.col("at"), F.col("total") - (F.col("len") - k + 1)), F.lit(0))
-    lined = near.join(seeds.select("hash", "len", "at").distinct(), "hash").withColumn("start", start)
-    windows = lined.select("doc_id", "len", "start", F.slice("around", F.col("start") - F.col("begin") + 1, F.col("len") - k + 1).alias("hashes"))
+    # Similarity s of n and m shingles takes s (n + m) / (1 + s) shared ones, and so s times the larger number at least.
+    shingles = F.col("len") - k + 1
+    fewest = items.agg(F.min(F.ceil(F.lit(similarity) * shingles - 1e-9))).first()[0]
+    marked = hashed.select("doc_id", "hashes", F.explode(F.array(maybe)).alias("maybe")).where(F.size("maybe") >= fewest)
+    marked = cut(marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "hashes", "maybe"))
+    hits = marked.select("row", F.size("hashes").alias("total"), F.explode(F.transform("maybe", lambda i: F.struct(i.alias("pos"), F.get("hashes", i).alias("hash")))).alias("h")).select("row", "total", "h.pos", "h.hash")
+    shared = hits.join(seeds.select("hash", "len").distinct(), "hash").groupBy("row", "total", "len").agg(F.collect_list("pos").alias("at"))
+    shared = shared.select("row", "total", "len", F.explode(F.array(F.array_sort("at"))).alias("at"))
+    width = F.least("total", shingles)
+    need = F.ceil(F.lit(similarity / (1 + similarity)) * (width + shingles) - 1e-9).cast("int")
+
+    def begins(pos: Column, i: Column) -> Column:
+        """The window from a shared shingle on, or the text's last one, if it holds enough of them."""
+        start = F.least(pos, F.col("total") - width)
+        return F.when(F.get("at", i + F.col("need") - 1) < start + width, start)
+
+    starts = shared.withColumn("need", need).select("row", "len", F.explode(F.array_distinct(F.filter(F.transform("at", begins), lambda x: x.isNotNull()))).alias("start"))
+    windows = marked.select("row", "doc_id", "hashes").join(starts, "row").select("doc_id", "len", "start", F.slice("hashes", F.col("start") + 1, shingles).alias("hashes"))
     windows = cut(windows.groupBy("doc_id", "len", "start").agg(F.min("hashes").alias("hashes")))
     # Equal passages are fingerprinted and compared once, however many documents have them.
     passages = cut(windows.groupBy("len", "hashes").agg(F.count("*").alias("n")).withColumn("passage", F.xxhash64("len", "hashes")))

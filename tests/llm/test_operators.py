@@ -222,6 +222,17 @@ def test_contaminated(spark, docs, rows, none):
     assert r
 
 
+def test_contaminated_reordered(spark):
+    word = lambda a, n: [f"{a}{i}" for i in range(n)]
+    item, filler = word("w", 59), word("f", 200)
+    texts = {1: filler[:100] + item[30:] + item[:30] + filler[100:], 2: item[30:] + item[:30], 3: filler + item[40:] + item[20:40] + item[:20], 4: filler + item[:30], 5: filler[:7] + item + filler[:50], 6: filler + item[:29] + ["x"] + item[30:]}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    bag = lambda x: Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4))
+    best = {i: max(sum((bag(t[s : s + 59]) & bag(item)).values()) / sum((bag(t[s : s + 59]) | bag(item)).values()) for s in range(max(1, len(t) - 58))) for i, t in texts.items()}
+    got = {x.doc_id: x.similarity for x in contaminated(docs, spark.createDataFrame([(0, " ".join(item))], "item_id bigint, text string")).collect()}
+    assert got == pytest.approx({i: x for i, x in best.items() if x >= 0.8}) and {1, 2, 5, 6} - {6} <= set(got) and best[1] == pytest.approx(51 / 59)
+
+
 def test_repeats(docs, rows, none):
     first, want = {}, {}
     for i, text, *_ in rows:

@@ -140,7 +140,8 @@ def _contaminated(texts: DataFrame, items: DataFrame, k: int, similarity: float,
 
     starts = shared.withColumn("need", need).select("row", "len", F.explode(F.array_distinct(F.filter(F.transform("at", begins), lambda x: x.isNotNull()))).alias("start"))
     windows = marked.select("row", "doc_id", "hashes").join(starts, "row").select("doc_id", "len", "start", F.slice("hashes", F.col("start") + 1, shingles).alias("hashes"))
-    windows = cut(windows.groupBy("doc_id", "len", "start").agg(F.min("hashes").alias("hashes")))
+    # Rows that repeat an id, or have none, keep a window each where their texts differ.
+    windows = cut(windows.distinct())
     # Equal passages are fingerprinted and compared once, however many documents have them.
     passages = cut(windows.groupBy("len", "hashes").agg(F.count("*").alias("n")).withColumn("passage", F.xxhash64("len", "hashes")))
     a = _prints(passages.select("passage", "len", "hashes"), radius)

@@ -233,6 +233,14 @@ def test_contaminated_reordered(spark):
     assert got == pytest.approx({i: x for i, x in best.items() if x >= 0.8}) and {1, 2, 5, 6} - {6} <= set(got) and best[1] == pytest.approx(51 / 59)
 
 
+def test_contaminated_repeated_ids(spark):
+    items = [[f"{a}{i}" for i in range(30)] for a in "pqr"]
+    texts = [" ".join(x) for x in items]
+    docs = spark.createDataFrame([(i, t) for i in (1, None) for t in texts], "doc_id bigint, text string")
+    got = {(x.doc_id, x.item_id) for x in contaminated(docs, spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")).collect()}
+    assert got == {(i, k) for i in (1, None) for k in range(3)}
+
+
 def test_repeats(docs, rows, none):
     first, want = {}, {}
     for i, text, *_ in rows:

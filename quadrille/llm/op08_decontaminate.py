@@ -25,7 +25,8 @@ RADIUS = 23
 BITS_PER_SHINGLE = 64
 BITMAP_LIMIT = 1 << 23
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LANES = 0x0001000100010001
+#: Lowest bit of each lane, by the lane's bits; 16 hold the sums of up to 65,535 hashes.
+_LANES = {16: 0x0001000100010001, 32: 0x0000000100000001}
 
 
 def _hashes(words: Column, k: int) -> Column:
@@ -42,20 +43,20 @@ def _tagged(hashes: Column) -> Column:
     return F.transform(ordered, lambda h, i: F.xxhash64(h, i + 1 - F.array_position(ordered, h)))
 
 
-def _lane_sums(hashes: Column) -> Column:
-    """Sixteen sums of sixteen-bit lanes: lane j of sum g counts the hashes with bit g + 16 j."""
+def _lane_sums(hashes: Column, lane: int = 16) -> Column:
+    """Sums of lanes of so many bits: lane j of sum g counts the hashes with bit g + lane * j."""
 
     def one(g: int) -> Column:
-        return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda s, h: s + F.shiftrightunsigned(h, g).bitwiseAND(F.lit(_LANES)))
+        return F.aggregate(hashes, F.lit(0).cast("bigint"), lambda s, h: s + F.shiftrightunsigned(h, g).bitwiseAND(F.lit(_LANES[lane])))
 
-    return F.array(*(one(g) for g in range(16)))
+    return F.array(*(one(g) for g in range(lane)))
 
 
-def _simhash(sums: Column, n: Column) -> Column:
+def _simhash(sums: Column, n: Column, lane: int = 16) -> Column:
     """The 64 majority votes of n hashes, from their lane sums."""
     word = F.lit(0).cast("bigint")
     for bit in range(64):
-        count = F.shiftrightunsigned(sums[bit % 16], 16 * (bit // 16)).bitwiseAND(F.lit(0xFFFF))
+        count = F.shiftrightunsigned(sums[bit % lane], lane * (bit // lane)).bitwiseAND(F.lit((1 << lane) - 1))
         word = word.bitwiseOR(F.when(count * 2 > n, F.shiftleft(F.lit(1).cast("bigint"), bit)).otherwise(F.lit(0).cast("bigint")))
     return word
 
@@ -66,11 +67,11 @@ def _blocks(fingerprint: Column, radius: int) -> Column:
     return F.array(*(F.struct(F.lit(b).alias("block"), F.shiftrightunsigned(fingerprint, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")) for b, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
 
 
-def _prints(windows: DataFrame, radius: int) -> DataFrame:
+def _prints(windows: DataFrame, radius: int, lane: int) -> DataFrame:
     """Adds the SimHash, computed once, and its blocks, one row each."""
     # An explode of one element keeps sums and fingerprint from being computed again for each use.
-    summed = windows.withColumn("sums", F.explode(F.array(_lane_sums(F.col("hashes")))))
-    marked = summed.withColumn("print", F.explode(F.array(_simhash(F.col("sums"), F.size("hashes"))))).drop("sums")
+    summed = windows.withColumn("sums", F.explode(F.array(_lane_sums(F.col("hashes"), lane))))
+    marked = summed.withColumn("print", F.explode(F.array(_simhash(F.col("sums"), F.size("hashes"), lane)))).drop("sums")
     return marked.withColumn("b", F.explode(_blocks(F.col("print"), radius))).select("*", "b.block", "b.value").drop("b")
 
 
@@ -82,7 +83,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     window. Of equal best windows that begin with
     a shared shingle or end with the text, the first is reported. Windows of a passage are about a ninth of its
     length, so the work grows with the square of an item's words. Rows that repeat an id are one document here. Empty
-    tables give an empty result. Items may have up to 65,535 words.
+    tables give an empty result.
     """
     lower = lambda c: words_column(F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), _UPPER, _LOWER))
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), lower(item_text).alias("words")).where(F.size("words") > 0)
@@ -101,7 +102,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def _contaminated(texts: DataFrame, items: DataFrame, k: int, similarity: float, radius: int) -> DataFrame:
     items = cut(items.select("item_id", "len", _hashes(F.col("words"), k).alias("hashes")))
     seeds = items.select("item_id", "len", F.posexplode("hashes").alias("at", "hash"))
-    n = items.agg(F.sum(F.size("hashes"))).first()[0]
+    longest, n = items.agg(F.max(F.size("hashes")), F.sum(F.size("hashes"))).first()
+    lane = 16 if longest < 1 << 16 else 32
 
     hashed = texts.select("doc_id", F.explode(F.array(_hashes(F.col("words"), k))).alias("hashes")).where(F.size("hashes") > 0)
     bits = 1 << max(10, (BITS_PER_SHINGLE * n - 1).bit_length())
@@ -144,8 +146,8 @@ def _contaminated(texts: DataFrame, items: DataFrame, k: int, similarity: float,
     windows = cut(windows.distinct())
     # Equal passages are fingerprinted and compared once, however many documents have them.
     passages = cut(windows.groupBy("len", "hashes").agg(F.count("*").alias("n")).withColumn("passage", F.xxhash64("len", "hashes")))
-    a = _prints(passages.select("passage", "len", "hashes"), radius)
-    b = _prints(items, radius).select("item_id", "len", "block", "value", F.col("print").alias("item_print"), F.col("hashes").alias("item_hashes"))
+    a = _prints(passages.select("passage", "len", "hashes"), radius, lane)
+    b = _prints(items, radius, lane).select("item_id", "len", "block", "value", F.col("print").alias("item_print"), F.col("hashes").alias("item_hashes"))
     within = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius
     candidates = cut(a.join(b, ["len", "block", "value"]).where(within).dropDuplicates(["passage", "len", "item_id"]).select("passage", "item_id", "len", "hashes", "item_hashes"))
     pair = candidates.select("passage", "item_id", "len", F.explode(F.array(F.struct(_tagged(F.col("hashes")).alias("x"), _tagged(F.col("item_hashes")).alias("y")))).alias("t"))

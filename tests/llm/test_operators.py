@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quadrille.llm import op07_secrets as secrets
@@ -241,6 +242,16 @@ def test_contaminated_repeated_ids(spark):
     assert got == {(i, k) for i in (1, None) for k in range(3)}
 
 
+def test_votes_of_long_items(spark):
+    from quadrille.llm.op08_decontaminate import _lane_sums, _simhash
+
+    value = 0x5A5A0F0F12347777
+    h = F.array_repeat(F.lit(value).cast("bigint"), F.col("n").cast("int"))
+    got = spark.createDataFrame([(65535,), (65536,), (200000,)], "n bigint").select("n", h.alias("h"))
+    wide = got.select(_simhash(_lane_sums(F.col("h"), 32), F.col("n"), 32).alias("x")).collect()
+    assert [r.x for r in wide] == [value] * 3
+
+
 def test_repeats(docs, rows, none):
     first, want = {}, {}
     for i, text, *_ in rows:

@@ -48,8 +48,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit
     everything = Window.partitionBy(F.lit(1))
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
     levels = caps.withColumn("level", level).withColumn("free", F.col("level") <= F.col("ratio"))
-    # The level that holds is that of the first source that stays below its cap.
-    held = F.min(F.when(F.col("free"), F.struct("ratio", "level"))).over(everything)["level"]
+    # The level that holds is that of the first source, in the same order, that stays below its cap; later ones of
+    # equal ratio have a level that leaves out its share.
+    first = F.struct("ratio", F.col("source").isNull().alias("last"), "source", "level")
+    held = F.min(F.when(F.col("free"), first)).over(everything)["level"]
     return levels.select("source", "source_size", "n", F.coalesce(F.least(F.col("weight") * held, F.col("cap")), F.col("cap")).alias("target"))
 
 

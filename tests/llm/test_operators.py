@@ -150,6 +150,20 @@ def test_targets(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize(
+    ("sizes", "weights", "want"),
+    [
+        ({"a": 500, "b": 200}, (5, 2, 1), {"a": 500, "b": 200}),
+        ({x: 100 for x in "abcd"}, (1,), {x: 100 for x in "abcd"}),
+        ({"a": 100, "b": 100, None: 100}, (1,), {"a": 100, "b": 100, None: 100}),
+        ({x: 100 for x in "abcdefgh"}, (5, 2, 1), {x: 800 * w / 23 for x, w in zip("abcdefgh", (5, 2, 1, 5, 2, 1, 5, 2))}),
+    ],
+)
+def test_targets_of_equal_ratios(spark, sizes, weights, want):
+    got = {r.source: r.target for r in source_targets(spark.createDataFrame(list(sizes.items()), "source string, size bigint"), weights).collect()}
+    assert got == pytest.approx(want) and sum(got.values()) == pytest.approx(sum(sizes.values()))
+
+
 def test_mix(docs, rows, none):
     got = sorted(map(tuple, mixed(docs, fan_in=8).collect()))
     assert got == sorted(map(tuple, mixed(docs.repartition(3), fan_in=8).collect())) and len(got) == len(rows)

@@ -19,22 +19,41 @@ from quadrille.llm.op08_decontaminate import contaminated
 from quadrille.llm.op10_near_dup import near_duplicates
 
 
+#: A key of each row of a stage's input, since ids may be null or repeat.
+_ROW = "_row"
+
+
+def _keyed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows with a key each, written to the shared folder, so that every reader sees the same keys."""
+    path = f"{shared_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    docs.withColumn(_ROW, F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject."""
-    kept = quality_rules(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Drops documents that the quality rules reject, row by row where ids are null or repeat."""
+    rows = _keyed(spark, docs)
+    kept = quality_rules(rows, id_col=_ROW).where("kept").select(F.col("doc_id").alias(_ROW))
+    return rows.join(kept, _ROW, "left_semi").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates (five-word shingles, 0.8) the document of least id."""
-    gone = near_duplicates(docs, shingle=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps of each group of near-duplicates (five-word shingles, 0.8) the document of least id, null being last.
+
+    One row stays of those that repeat an id inside a group; rows of one id in two groups are two documents.
+    """
+    rows = _keyed(spark, docs)
+    groups = near_duplicates(rows, id_col=_ROW, shingle=5, percent=80).select(F.col("doc_id").alias(_ROW), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", _ROW))[_ROW]
+    kept = groups.join(rows.select(_ROW, "doc_id"), _ROW).groupBy("component_id").agg(first.alias(_ROW)).select(_ROW)
+    return rows.join(kept, _ROW, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a passage that is 0.8 similar to a benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Drops documents with a passage that is 0.8 similar to a benchmark item, row by row where ids are null or repeat."""
+    rows = _keyed(spark, docs)
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=_ROW).select(F.col("doc_id").alias(_ROW)).distinct()
+    return rows.join(found, _ROW, "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

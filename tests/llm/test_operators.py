@@ -389,3 +389,20 @@ def test_pipeline_decisions(spark, docs, rows, tmp_path):
     assert not any(leak in x.text for x in texts) and all(x.n_chars == len(x.text) for x in texts) and sum("[SECRET]" in x.text for x in texts) == 8
     assert held["secrets"].columns == held["quality rules"].columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 80
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    r = random.Random(6)
+    text = lambda: " ".join(r.choice(["stone", "river", "over", "the"]) + str(r.randint(0, 999)) for _ in range(90))
+    bench = " ".join(f"item{j}" for j in range(30))
+    spark.createDataFrame([(0, bench)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    t = [text() for _ in range(8)]
+    plain = [(100 + i, text()) for i in range(80)]
+    odd = [(None, t[0]), (None, f"{t[1]} {bench}"), (None, "too short"), (1, t[2]), (1, "short too"), (2, t[3]), (2, f"{t[4]} {bench}"), (3, t[5]), (3, t[5]), (None, t[6]), (7, t[6] + " x"), (None, t[7]), (None, t[7])]
+    table = spark.createDataFrame([(i, x, "en", "a", len(x)) for i, x in plain + odd], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = Counter([(i, x) for i, x in odd if len(x) > 20])
+    for k, (gone, stage) in enumerate([([], corpus_pipeline.quality), ([(3, t[5]), (None, t[6]), (None, t[7])], corpus_pipeline.near_dedup), ([(None, f"{t[1]} {bench}"), (2, f"{t[4]} {bench}")], corpus_pipeline.decontaminate)]):
+        stage(spark, table, str(tmp_path)).write.parquet(str(tmp_path / str(k)))
+        table = spark.read.parquet(str(tmp_path / str(k)))
+        want -= Counter(gone)
+        assert Counter((x.doc_id, x.text) for x in table.collect()) == want + Counter(plain)

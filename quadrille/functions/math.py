@@ -140,7 +140,8 @@ def combin(n: Column, k: Column) -> Column:
     n, k = F.floor(n), F.floor(k)
     small = F.least(k, n - k)
     steps = F.when((small >= 1) & (small <= 10000), F.sequence(_L(1), small.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return _where((n >= 0) & (k >= 0) & (k <= n), F.rint(F.aggregate(steps, _L(1.0), lambda a, i: a * (n - small + i) / i)))
+    # Beyond 10,000 steps the value is past any double.
+    return _where((n >= 0) & (k >= 0) & (k <= n) & (small <= 10000), finite(F.rint(F.aggregate(steps, _L(1.0), lambda a, i: a * (n - small + i) / i))))
 
 
 @scalar("COMBINA", sig="nn")

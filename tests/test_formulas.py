@@ -74,6 +74,10 @@ TABLE = {
 }
 
 
+def test_combinations_past_a_double(book):
+    assert values(book, ["=COMBIN(30000,15000)", "=COMBINA(15001,15000)", "=COMBIN(20000,10000)", "=COMBIN(30000,29999)"]) == ["#NUM!", "#NUM!", "#NUM!", 30000]
+
+
 def test_tables(book):
     book.sheet("Want", [["Region", "Amount"], ["East", ">20"], [None, "50"]], header=True).sheet("One", [["Amount"], ["50"]], header=True)
     book.add_pivot("P", "Sales", PivotSpec(("Region",), ("Product",), (ValueField("Amount"),)))

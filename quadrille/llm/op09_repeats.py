@@ -229,7 +229,7 @@ class RunLengthIndex:
     def __init__(self, text: np.ndarray, size: np.ndarray, doc: np.ndarray, length: int):
         self.length, self.size = length, size
         ends = np.cumsum(size + 1)
-        total = int(ends[-1])
+        self.total = total = int(ends[-1])
         symbol = np.zeros(total + 4, np.uint64)
         begin = ends - size - 1
         symbol[_ragged(begin, size)] = text.astype(np.uint64) + np.uint64(1)
@@ -275,22 +275,27 @@ class RunLengthIndex:
         rank[order] = np.concatenate([[0], np.cumsum(np.diff(key >> bits) != 0)]).astype(np.uint64)
         return order, rank
 
+    def steps(self) -> np.ndarray:
+        """The LF step of every row, from its run's image: rows of a run move alike."""
+        sizes = np.diff(np.append(self.run, self.total))
+        return (np.repeat(self.image - self.run, sizes) + np.arange(self.total)).astype(np.int32)
+
     def least_documents(self) -> np.ndarray:
         """For each window of the strings in turn, the least document that has it, by streaming all strings backwards."""
         windows = self.size - self.length + 1
         at = np.cumsum(windows) - windows
         out = np.empty(int(windows.sum()), np.int64)
         turn = np.argsort(-self.size, kind="stable")
-        row, size = turn.copy(), self.size[turn]
+        row, size = turn.astype(np.int32), self.size[turn]
+        step_of, interval = self.steps(), np.repeat(np.arange(len(self.interval), dtype=np.int32), np.diff(np.append(self.interval, self.total)))
+        alive = np.searchsorted(-size, -np.arange(int(size.max()) + 1), side="right").tolist()
+        last = at[turn] + size
         for step in range(1, int(size.max()) + 1):
-            alive = int(np.searchsorted(-size, -step, side="right"))
-            row = row[:alive]
-            run = np.searchsorted(self.run, row, side="right") - 1
-            row = self.image[run] + row - self.run[run]
+            n = alive[step]
+            row = step_of[row[:n]]
             if step >= self.length:
-                hit = np.searchsorted(self.interval, row, side="right") - 1
-                out[at[turn[:alive]] + size[:alive] - step] = self.least[hit]
-        return out
+                out[last[:n] - step] = interval[row]
+        return self.least[out]
 
 
 def _mark(length: int):

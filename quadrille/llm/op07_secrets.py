@@ -7,10 +7,11 @@ checksum must satisfy it:
 
 - github: ``gh[pousr]_`` and 36 characters, the last 6 being the base-62 CRC-32 of the 30 before them;
 - npm: ``npm_`` and 36 characters, alike;
-- jwt: three base64url parts, the first two of which decode to JSON objects;
+- jwt: three base64url parts, the first two of which decode to JSON objects, from the start of a run of such characters;
 - pem: a private key block, whose base64 body must decode to a DER sequence of the length it states.
 
-Spans are kind:start:end in code points, end exclusive, ordered by start, then kind as in ``KINDS``.
+Each character is looked at a bounded number of times, so a text's work is in proportion to its length, whatever
+it holds. Spans are kind:start:end in code points, end exclusive, ordered by start, then kind as in ``KINDS``.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ _RANK = {k: i for i, k in enumerate(KINDS)}
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _CHECKED = re.compile(r"(?:gh[pousr]|npm)_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 #: Keyword (lower case), kind, and how far before the keyword's start the expression begins.
 KEYWORDS = (
@@ -66,7 +67,7 @@ def checksum62(body: str) -> str:
 def _is_object(part: str) -> bool:
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict)
-    except (ValueError, binascii.Error):
+    except (ValueError, RecursionError):
         return False
 
 
@@ -132,6 +133,7 @@ def scan_batch(column: pa.Array, found: ahocorasick.Automaton) -> Iterator[list[
     for lo, hi in row_chunks(offs):
         part, at = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         raw = part.tobytes()
+        points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])  # code points before each byte
         low = raw.lower()  # bytes: A-Z only, so positions stay
         starts, stops = _hex_runs(part, at) if len(part) else (np.zeros(0, int), np.zeros(0, int))
         owner = np.searchsorted(at, starts, side="right") - 1
@@ -140,7 +142,7 @@ def scan_batch(column: pa.Array, found: ahocorasick.Automaton) -> Iterator[list[
             hits = [(end - n + 1, kind) for end, (n, kind) in found.iter(low[a:b].decode())]
             spans = keyword_spans(raw[a:b].decode(), hits) if hits else []
             for j in range(nearest[i], nearest[i + 1]):
-                s = len(raw[a : starts[j]].decode())
+                s = int(points[starts[j]] - points[a])
                 spans.append((s, s + int(stops[j] - starts[j]), "hex"))
             spans.sort(key=lambda x: (x[0], _RANK[x[2]]))
             yield spans
@@ -153,7 +155,8 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Null text is empty. Rows that repeat an id are scanned each. Empty tables give an empty result.
+    Null text is empty. Rows that repeat an id are scanned each. Empty tables give an empty result. Further
+    columns are ignored, whatever their names. Texts of any length are scanned whole, in linear time.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 

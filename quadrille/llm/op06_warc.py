@@ -7,6 +7,7 @@ whose gaps are small; one range read fetches a run, and its members are opened f
 
 Archives are named by a random number per attempt, and only those of attempts that succeeded are in the index,
 so tasks can be repeated. File access is by pyarrow's file systems, which take the URI of the shared folder.
+Payloads are held a few megabytes (or one record) at a time, both when they are written and when they are read.
 """
 
 from __future__ import annotations
@@ -24,17 +25,19 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import cut, shared_dir
+from quadrille.llm.common import cut, row_chunks, shared_dir
 
 #: Two records this near are read together; one read spans at most RUN_BYTES and one record.
 GAP_BYTES = 1 << 16
 RUN_BYTES = 1 << 23
 ARCHIVE_BYTES = 1 << 27
+#: Payload bytes that a task turns into Python values or into one batch at once.
+HELD_BYTES = 1 << 22
 _DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id bigint, archive string, offset bigint, length bigint, url string, digest string"
 
 
-def payload_digest(payload: bytes) -> str:
+def payload_digest(payload: bytes | pa.Buffer) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
@@ -72,6 +75,19 @@ def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return fields, {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in http.decode().split("\r\n")[1:])}, payload
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path of a URI; s3a and s3n are Hadoop's names of what is s3 here."""
+    scheme, sign, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if sign and scheme in ("s3a", "s3n") else uri)
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of HELD_BYTES of a binary column, or of one row."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for lo, hi in row_chunks(np.concatenate([[0], np.cumsum(size)]), HELD_BYTES):
+        yield batch.slice(lo, hi - lo)
+
+
 def _gzip(raw: bytes) -> bytes:
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(raw) + z.flush()
@@ -79,9 +95,9 @@ def _gzip(raw: bytes) -> bytes:
 
 def _writer(folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pafs.FileSystem.from_uri(folder)
+        fs, path = file_system(folder)
         out, name, at = None, "", 0
-        for batch in batches:
+        for batch in (x for whole in batches for x in _slices(whole, 2)):
             rows = []
             for x in batch.to_pylist():
                 if out is None or at > ARCHIVE_BYTES:
@@ -106,19 +122,21 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, that with the largest id is a response and
     the others revisit it; rows that repeat the largest id are responses too, and null ids revisit any other.
+    Null html is an empty payload; pages of any length are written whole; further columns are ignored, whatever
+    their names. An empty table gives an empty index.
     """
     spark = pages.sparkSession
     shared = shared_dir(spark)
     if shared.startswith("file:"):
         shared = "file:///" + shared.removeprefix("file:").lstrip("/")
     folder = f"{shared}/warc-{uuid.uuid4().hex}"
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [payload_digest(x) for x in batch.column(1).to_pylist()]
+            found = [payload_digest(x.as_buffer()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pc.binary_length(batch.column(1)).cast(pa.int64())], ["page_id", "digest", "bytes"])
 
     facts = cut(rows.select("page_id", "payload").mapInArrow(digests, "page_id bigint, digest string, bytes bigint"))
@@ -128,7 +146,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     def with_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([payload_digest(x) for x in batch.column(2).to_pylist()], pa.string())
+            found = pa.array([payload_digest(x.as_buffer()) for x in batch.column(2)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "digest"])
 
     full = rows.mapInArrow(with_digest, "page_id bigint, url string, payload binary, digest string")
@@ -147,22 +165,29 @@ def _runs(offset: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.array(cut_at, np.int64)
 
 
+_READ = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "url": pa.string(), "payload": pa.binary()}
+
+
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    where, source = None, None
+    where, source, out, held = None, None, [], 0
+
+    def send() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _READ.values(), strict=True)], list(_READ))
+
     for batch in batches:
         archive = np.array(batch.column(1).to_pylist(), dtype=object)
         offset, length = (batch.column(i).to_numpy() for i in (2, 3))
-        page, out = batch.column(0).to_pylist(), []
+        page = batch.column(0).to_pylist()
         heads = np.flatnonzero(np.concatenate([[True], archive[1:] != archive[:-1]])) if len(archive) else []
         for lo, hi in zip(heads, [*heads[1:], len(archive)], strict=True):
             if archive[lo] != where:
                 where = archive[lo]
-                fs, path = pafs.FileSystem.from_uri(where)
+                fs, path = file_system(where)
                 source = fs.open_input_file(path)
             begins = _runs(offset[lo:hi], length[lo:hi]) + lo
             for a, b in zip(begins, [*begins[1:], hi], strict=True):
                 start = int(offset[a])
-                raw = source.read_at(int((offset[a:b] + length[a:b]).max()) - start, start)
+                raw = memoryview(source.read_at(int((offset[a:b] + length[a:b]).max()) - start, start))
                 for i in range(a, b):
                     fields, http, payload = parse(zlib.decompress(raw[int(offset[i]) - start : int(offset[i] + length[i]) - start], 31))
                     digest = fields["warc-payload-digest"].removeprefix("sha1:")
@@ -171,9 +196,12 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         raise ValueError(f"digest of {fields['warc-record-id']} does not match its payload")
                     refers = fields.get("warc-refers-to")
                     out.append((page[i], int(http["content-length"]), digest, kind, None if refers is None else int(refers[10:-1]), fields["warc-target-uri"], payload))
-        cols = list(zip(*out, strict=True)) if out else [()] * 7
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"])
+                    held += len(payload) + 200
+                    if held > HELD_BYTES:
+                        yield send()
+                        out, held = [], 0
+    if out:
+        yield send()
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -192,5 +220,5 @@ def drop_archives(spark: SparkSession, index: DataFrame) -> None:
     """Delete the archives of an index."""
     row = index.select("archive").first()
     if row is not None:
-        fs, path = pafs.FileSystem.from_uri(row.archive.rpartition("/")[0])
+        fs, path = file_system(row.archive.rpartition("/")[0])
         fs.delete_dir(path)

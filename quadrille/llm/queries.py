@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quadrille.llm.common import table
+from quadrille.llm.common import cut, table
 from quadrille.llm.op01_quality_rules import quality_rules
 from quadrille.llm.op02_token_counts import count_tokens
 from quadrille.llm.op03_language import identify_languages
 from quadrille.llm.op04_quality_classifier import score_quality
 from quadrille.llm.op05_mix import mixed
-from quadrille.llm.op06_warc import read_records, write_archives
+from quadrille.llm.op06_warc import drop_archives, read_records, write_archives
 from quadrille.llm.op07_secrets import find_secrets
 from quadrille.llm.op08_decontaminate import contaminated
 from quadrille.llm.op09_repeats import remove_repeats
@@ -41,7 +41,10 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_records(write_archives(table(spark, sf_dir, "pages"))).drop("url", "payload")
+    index = write_archives(table(spark, sf_dir, "pages"))
+    found = cut(read_records(index).drop("url", "payload"))
+    drop_archives(spark, index)
+    return found
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

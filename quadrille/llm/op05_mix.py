@@ -22,7 +22,9 @@ WEIGHTS = (5, 2, 1)
 LIMIT = 3
 FAN_IN = 256
 
-_ITEM = "struct<size:bigint,doc_id:bigint,p:double>"
+_ITEM = "struct<size:bigint,doc_id:bigint,at:bigint,p:double>"
+#: Rows that one step of numbering rows alike makes at most.
+_ALIKE = 1 << 14
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -60,14 +62,14 @@ def _uniform(*parts: Column) -> Column:
 
 
 def _item(x: Column, p: Column) -> Column:
-    return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), p.alias("p")).cast(_ITEM)
+    return F.struct(x["size"].alias("size"), x["doc_id"].alias("doc_id"), x["at"].alias("at"), p.alias("p")).cast(_ITEM)
 
 
 def _transfer(old: Column, new: Column, seed: int) -> Column:
     """(old, new): the two probabilities after mass has moved; one of them is 0 or 1."""
     up = F.least((1 - old["p"]) * old["size"], new["p"] * new["size"])  # words that can move to the old one
     down = F.least(old["p"] * old["size"], (1 - new["p"]) * new["size"])
-    draw = _uniform(F.lit(seed), old["doc_id"], new["doc_id"], old["size"])
+    draw = _uniform(F.lit(seed), old["doc_id"], new["doc_id"], old["size"], old["at"], new["at"])
 
     def moved(m: Column) -> Column:
         both = lambda a, b: F.struct(a.cast("double").alias("old"), b.cast("double").alias("new"))
@@ -102,12 +104,21 @@ def _fold(items: Column, seed: int) -> Column:
     return F.aggregate(items, empty, step)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """The rows with ``at``, which counts those alike from 0, by counting them and making them anew."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("alike"))
+    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("alike") - 1, F.lit(_ALIKE).cast("bigint")))
+    stretch = counted.select("*", first.alias("first"))
+    return stretch.select(*rows.columns, F.explode(F.sequence(F.col("first"), F.least(F.col("first") + _ALIKE, F.col("alike")) - 1)).alias("at"))
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, limit: int = LIMIT, seed: int = 17, fan_in: int = FAN_IN, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
     Size is the number of words (null text: 0); taken = copies · size, copies at most ``limit``. Documents of
-    size 0 take nothing. A null source is a source, the last. Rows that repeat an id and size are told apart
-    by nothing and so may be dealt any of their decisions. An empty table gives an empty result.
+    size 0 take nothing. A null source is a source, the last. Rows that repeat an id, null included, and have
+    one source and size are told apart by a number, so they are dealt into groups like any others. Texts of any
+    length count whole; further columns are ignored, whatever their names. An empty table gives an empty result.
     """
     size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD_RE)).cast("bigint")
     sizes = cut(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), size.alias("size"), F.col(source_col).cast("string").alias("source")))
@@ -119,22 +130,22 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = sizes.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     fixed = (F.col("part") == 0) | (F.col("size") == 0)
     out = rows.where(fixed).select("doc_id", "source", "size", F.lit(0).alias("copies"))
-    left = rows.where(~fixed).select("doc_id", "source", "size", F.col("part").alias("p"), "n")
+    left = _numbered(rows.where(~fixed).select("doc_id", "source", "size", F.col("part").alias("p"), "n"))
     most = targets.agg(F.max("n")).first()[0] or 0
     level = 0
     while most > 0:
         last = most <= fan_in
         groups = F.ceil(F.col("n") / F.lit(fan_in))
-        deal = F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "size"), groups)
+        deal = F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "size", "at"), groups)
         folded = cut(
             left.groupBy("source", deal.alias("deal"))
-            .agg(F.max(groups).alias("n"), F.sort_array(F.collect_list(F.struct("size", "doc_id", "p")), asc=False).alias("items"))
+            .agg(F.max(groups).alias("n"), F.sort_array(F.collect_list(F.struct("size", "doc_id", "at", "p")), asc=False).alias("items"))
             .select("source", "n", _fold(F.col("items"), seed + level).alias("x"))
         )
         out = out.unionByName(folded.select("source", F.explode("x.done").alias("d")).select("d.doc_id", "source", "d.size", "d.copies"))
-        left = folded.select(F.col("x.open.doc_id").alias("doc_id"), "source", F.col("x.open.size").alias("size"), F.col("x.open.p").alias("p"), "n")
+        left = folded.select(F.col("x.open.doc_id").alias("doc_id"), "source", F.col("x.open.size").alias("size"), F.col("x.open.at").alias("at"), F.col("x.open.p").alias("p"), "n")
         most, level = (0 if last else -(-most // fan_in)), level + 1
-    final = F.when(_uniform(F.lit(seed), F.lit("last"), F.col("doc_id")) < F.col("p"), 1).otherwise(0)
+    final = F.when(_uniform(F.lit(seed), F.lit("last"), F.col("doc_id"), F.col("at")) < F.col("p"), 1).otherwise(0)
     out = out.unionByName(left.select("doc_id", "source", "size", final.alias("copies"))) if level else out
     joined = out.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     copies = F.when(F.col("size") > 0, F.col("copies") + F.col("whole")).otherwise(0)

@@ -19,11 +19,13 @@ CHUNK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, else (tests) a temporary one."""
+    """The folder all executors share: the session's spark.checkpoint.dir, else, with a local master (tests), a temporary one."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='quadrille-')}")
         found = sc.getCheckpointDir()
     return found

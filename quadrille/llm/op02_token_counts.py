@@ -10,8 +10,10 @@ a space becomes the mark U+2581, and a text that is not empty gets one in front;
 piece covers can be passed by one unknown character at the least score less 10, which counts as its UTF-8
 bytes; of paths with equal scores into one place, that whose last piece starts first stays.
 
-If no piece has a mark after another character, every segmentation is cut before each mark that follows one, so
-runs of text between such cuts are counted apart and remembered, which changes no result.
+If no piece has a mark after another character, every segmentation is cut before each mark that follows one. Where
+scores are whole numbers besides, their sums are exact in double precision, so sums and ties are the same from
+whatever place a sum starts: runs of text between such cuts are then counted apart and remembered, which changes
+no result. With other scores a text is walked in one piece.
 """
 
 from __future__ import annotations
@@ -70,7 +72,7 @@ class Vocabulary:
 
     def __post_init__(self):
         object.__setattr__(self, "least", min(s for _, s in self.pieces))
-        object.__setattr__(self, "apart", not any(MARK in p.lstrip(MARK) for p, _ in self.pieces))
+        object.__setattr__(self, "apart", not any(MARK in p.lstrip(MARK) or s != int(s) or abs(s) > 2**24 for p, s in self.pieces))
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -176,8 +178,9 @@ class Counter:
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per document: doc_id, n_tokens, score.
 
-    Null text counts as empty: no tokens, score 0. Rows that repeat an id are counted each. Empty tables give
-    an empty result. The vocabulary is read once, on the driver.
+    Null text counts as empty: no tokens, score 0. Rows that repeat an id are counted each. Texts of any length
+    count whole; further columns are ignored, whatever their names. Empty tables give an empty result. The
+    vocabulary is read once, on the driver.
     """
     held = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(vocabulary))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -68,6 +68,7 @@ def _added(parts: DataFrame, fan_in: int = 16) -> np.ndarray | None:
         total = np.sum([np.frombuffer(x, np.float64) for x in found["sums"].to_pylist()], axis=0)
         return pa.table({"part": found["part"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
+    parts = cut(parts)
     n = (parts.agg(F.max("part")).first()[0] or 0) + 1
     while True:
         parts = parts.withColumn("part", F.floor(F.col("part") / fan_in).cast("bigint")).groupBy("part").applyInArrow(add, "part bigint, sums binary")
@@ -144,12 +145,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """One row per document: doc_id, held_out, score, predicted.
 
     Labels of rows whose crc32(id) mod 5 is 0 are not learned from; of the others, those of remainder 4
-    calibrate and the rest fit. Null labels are left out; a document labelled twice counts twice. Null text is
-    empty. A null id is never held out and has no label. Empty tables give an empty result.
+    calibrate and the rest fit. Labels other than 0 and 1, null included, are left out; a document labelled
+    twice counts twice. Null text is empty, texts of any length count whole. A null id is never held out and has
+    no label. Further columns are ignored, whatever their names. Empty tables give an empty result.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     stats = cut(statistics(docs, id_col, text_col).select("doc_id", "features"))
-    marks = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     rows = cut(stats.join(marks.where(fold != 0), "doc_id").withColumn("fold", fold))
     model = docs.sparkSession.sparkContext.broadcast(learn_quality(rows, F.col("fold") < 4, F.col("fold") == 4))
 

@@ -116,7 +116,7 @@ d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, array_to_string(
 l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM l"""
 
-# Every window of an item's size in every document that shares a shingle with it.
+# Every window of an item's size in every document that shares a shingle with it; items of under five words as they are.
 OP8_SQL = f"""
 WITH i AS (SELECT item_id, {_LOWER_WORDS} AS w FROM benchmark), i5 AS (SELECT item_id, w, len(w) AS n, list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) AS sh FROM i WHERE len(w) >= 5),
 d AS (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents), d5 AS (SELECT doc_id, list_transform(range(1, greatest(len(w) - 3, 1)), lambda k: array_to_string(w[k:k + 4], ' ')) AS sh FROM d),
@@ -124,7 +124,8 @@ seeds AS (SELECT item_id, n, unnest(sh) AS g FROM i5), hits AS (SELECT doc_id, u
 pairs AS (SELECT DISTINCT doc_id, item_id FROM hits JOIN seeds USING (g)),
 starts AS (SELECT doc_id, item_id, i5.sh AS a, d5.sh AS b, unnest(range(0, greatest(len(d5.sh) - (i5.n - 4), 0) + 1)) AS s, i5.n - 4 AS k FROM pairs JOIN i5 USING (item_id) JOIN d5 USING (doc_id)),
 sims AS (SELECT doc_id, item_id, s, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b[s + 1:s + k], lambda y: y = x))))) AS shared, len(a) + len(b[s + 1:s + k]) AS total FROM starts)
-SELECT doc_id, item_id, max(shared::DOUBLE / (total - shared)) AS similarity FROM sims WHERE shared >= 0.8 * (total - shared) GROUP BY doc_id, item_id"""
+SELECT doc_id, item_id, max(shared::DOUBLE / (total - shared)) AS similarity FROM sims WHERE shared >= 0.8 * (total - shared) GROUP BY doc_id, item_id
+UNION ALL SELECT doc_id, item_id, 1.0 FROM i JOIN d ON len(i.w) BETWEEN 1 AND 4 AND list_contains(list_transform(range(1, greatest(len(d.w) - len(i.w) + 2, 1)), lambda k: array_to_string(d.w[k:k + len(i.w) - 1], ' ')), array_to_string(i.w, ' '))"""
 
 OP10_SQL = f"""WITH RECURSIVE {near_dup_ctes("documents", 4, 80)}
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM roots"""

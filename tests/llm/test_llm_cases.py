@@ -210,3 +210,156 @@ def test_quality_labels_with_clashing_columns(spark):
     labels = spark.createDataFrame([(i, i % 2, "t", 1.0) for i in range(200)] + [(i, 7, "t", 1.0) for i in range(200)], "doc_id bigint, quality int, text string, features double")
     got = quality.score_quality(docs, labels).collect()
     assert len(got) == 200 and all(r.predicted == r.doc_id % 2 for r in got)
+
+
+def shingle_set(text, k=4):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset()
+
+
+def plain_components(rows, k=4):
+    """Smallest id of each row's component over all pairs of rows, by (id, set)."""
+    sets = [shingle_set(t, k) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            n = len(sets[a] & sets[b])
+            if n and rows[a][0] is not None and rows[b][0] is not None and 100 * n >= 80 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None and sets[i]:
+            least[find(i)] = min(least.get(find(i), d), d)
+    return [None if d is None else least[find(i)] if sets[i] else d for i, (d, _) in enumerate(rows)]
+
+
+def test_near_duplicates_of_repeated_ids_and_large_groups(spark, monkeypatch):
+    """One id with different texts, a large group of near copies, chains, and ties, against all pairs."""
+    from quadrille.llm import op10_near_dup as op
+
+    monkeypatch.setattr(op, "BLOCK_TOKENS", 400)
+    monkeypatch.setattr(op, "STAR_ROWS", 16)
+    r = random.Random(12)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(r.randint(0, 5)):
+            t[r.randrange(60)] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(t)))
+    chain = [f"c{i}" for i in range(80)]
+    for i in range(30):
+        rows.append((200 + i, " ".join(chain[i : i + 50])))
+    rows += [(1, " ".join(chain[40:])), (1, " ".join(f"z{i}" for i in range(30))), (300, " ".join(f"z{i}" for i in range(31))), (None, rows[0][1]), (None, None), (301, ""), (301, "one two"), (302, "One  TWO"), (5, rows[9][1]), (5, rows[9][1])]
+    df = spark.createDataFrame([(*x, 1, [2]) for x in rows], "doc_id bigint, text string, n_shingles int, c1 array<int>").repartition(3)
+    got = Counter((x.doc_id, x.n_shingles, x.component_id) for x in op.near_duplicates(df).collect())
+    assert got == Counter((d, len(shingle_set(t)), c) for (d, t), c in zip(rows, plain_components(rows)))
+
+
+def plain_contaminated(rows, items):
+    """Best similarity of all windows of each text to each item."""
+    out = {}
+    for d, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        for i, t in items:
+            iw = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+            n = min(5, len(iw))
+            if not iw or len(w) < n:
+                continue
+            bag = lambda x, n=n: Counter(tuple(x[j : j + n]) for j in range(len(x) - n + 1))
+            b = bag(iw)
+            best = max(sum((a & b).values()) / sum((a | b).values()) for a in (bag(w[s : s + len(iw)]) for s in range(max(1, len(w) - len(iw) + 1))))
+            if best >= 0.8:
+                out[d, i] = max(best, out.get((d, i), 0))
+    return out
+
+
+def test_contaminated_recall_near_the_threshold(spark):
+    """Passages edited to just above 0.8, ties of equal windows, one word repeated, long texts, short items, clashing columns."""
+    from quadrille.llm.op08_decontaminate import contaminated
+
+    r = random.Random(31)
+    words = [f"v{i}" for i in range(900)]
+    items = [(i, " ".join(r.choice(words) for _ in range(r.choice([40, 60, 60, 90])))) for i in range(25)] + [(90, "word " * 30), (91, "alpha beta"), (92, None), (93, "solo")]
+    rows = []
+    for d in range(150):
+        w = items[r.randrange(25)][1].split()
+        for _ in range(r.randint(0, 2)):
+            w[r.randrange(len(w))] = "edited"
+        if d % 3 == 0:
+            k = r.randrange(len(w))
+            w = w[k:] + w[:k]
+        filler = lambda: [r.choice(words) + "f" for _ in range(r.randint(0, 60))]
+        rows.append((d, " ".join(filler() + w + filler() + (w if d % 10 == 0 else []))))
+    rows += [(500, "word " * 400), (501, "x Alpha BETA y solo"), (502, " ".join(filler() * 300) + " " + items[0][1] + " tail" * 3000)]
+    docs = spark.createDataFrame([(*x, 1, 2) for x in rows], "doc_id bigint, text string, item_id int, len int").repartition(3)
+    bench = spark.createDataFrame([(*x, 1, "h") for x in items], "item_id bigint, text string, doc_id int, hashes string")
+    want = plain_contaminated([x for x in rows if x[0] != 502], items)
+    want[502, 0] = 1.0
+    got = {(x.doc_id, x.item_id): x.similarity for x in contaminated(docs, bench).collect()}
+    assert got == pytest.approx(want) and sum(v < 0.86 for v in want.values()) > 10 and (501, 91) in got and (500, 90) in got
+
+
+def plain_mcd(x):
+    """Regularised minimum covariance determinant by whole-data concentration steps: mean, covariance."""
+    from quadrille.llm import op01_quality_rules as rules
+
+    floor, best = np.diag(rules.FLOOR**2), None
+    h = max(1, round(rules.SHARE * len(x)))
+    middle = np.median(x, axis=0)
+    scale = np.maximum((np.quantile(x, 0.75, axis=0) - np.quantile(x, 0.25, axis=0)) / 1.349, rules.FLOOR)
+    squashed = np.cov(np.tanh((x - middle) / scale).T, bias=True) * np.outer(scale, scale) + floor
+    for mean, cov in ((middle, np.diag(scale**2)), (middle, squashed), (x.mean(axis=0), np.cov(x.T, bias=True) + floor)):
+        for _ in range(30):
+            y = x - mean
+            near = x[np.argsort((y * np.linalg.solve(cov, y.T).T).sum(axis=1))[:h]]
+            mean, cov = near.mean(axis=0), np.cov(near.T, bias=True) * rules.CONSISTENCY + floor
+        size = np.linalg.slogdet(cov)[1]
+        if best is None or size < best[0]:
+            best = size, mean, cov
+    return best[1:]
+
+
+@pytest.mark.parametrize("limit", [4096, 3])
+def test_quality_verdicts_against_plain_mcd(spark, limit):
+    from quadrille.llm import op01_quality_rules as rules
+    from quadrille.llm.textstats import statistics
+
+    r = random.Random(21)
+    bank = {"en": ["stone", "river", "over", "the", "house", "of", "light"], "de": ["straße", "und", "über", "haus", "der"], None: ["a", "bc", "def"]}
+    rows = []
+    for i in range(900):
+        lang, source = r.choice(["en", "en", "de", None]), r.choice(["a", "a", "a", "b", None])
+        words = [r.choice(bank[lang]) + r.choice(["", "s", "ing", "."]) + r.choice(["", str(r.randint(0, 999))]) for _ in range(r.randint(55, 400))]
+        if i % 25 == 0:
+            words = [w.upper() + r.choice(["%$#", "!!|", "**"]) for w in words]
+        rows.append((i, " ".join(words) + "\n" * (i % 3), lang, source))
+    rows += [(i, "too short", "xx", "only") for i in range(900, 905)] + [(905, None, None, None), (3, rows[3][1], rows[3][2], rows[3][3])]
+    df = spark.createDataFrame([(*x, 1.0, "g") for x in rows], "doc_id bigint, text string, lang string, source string, distance double, grp string").repartition(4)
+    got = {x.doc_id: x for x in rules.quality_rules(df, model_limit=limit).collect()}
+    assert len(got) == 906 and all(got[i].distance is None and not got[i].kept for i in range(900, 905))
+    feats = {x.doc_id: np.array(x.features) for x in statistics(df, "doc_id", "text").collect()}
+    good = [x for x in rows if not got[x[0]].base_failed]
+    of = lambda keep: plain_mcd(np.array([feats[x[0]] for x in good if keep(x)]))
+    whole, held, wide, count = of(lambda x: True), {}, {}, Counter((x[2], x[3]) for x in good)
+    mixed_in = lambda n, own, other: tuple((n * a + rules.PRIOR_ROWS * b) / (n + rules.PRIOR_ROWS) for a, b in zip(own, other))
+    for lang, source in count:
+        if lang not in wide:
+            wide[lang] = mixed_in(sum(n for k, n in count.items() if k[0] == lang), of(lambda x: x[2] == lang), whole)
+        held[lang, source] = mixed_in(count[lang, source], of(lambda x: (x[2], x[3]) == (lang, source)), wide[lang])
+    errors = []
+    for i, _, lang, source in good:
+        mean, cov = held[lang, source]
+        y = feats[i] - mean
+        d = y @ np.linalg.solve(cov, y)
+        errors.append(abs(got[i].distance - d) / (1 + d))
+        assert got[i].kept == (d < rules.CUTOFF) or abs(d / rules.CUTOFF - 1) < 0.1
+    assert np.median(errors) < 0.05 and max(errors) < 0.3
+    assert not any(got[i].kept for i in range(0, 900, 25)) and sum(got[i].kept for i in range(900)) >= 860
+    assert rules.chi_square(rules.chi_square_quantile(0.99, 12), 12) == pytest.approx(0.99) and rules.chi_square_quantile(0.95, 2) == pytest.approx(5.991464547)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.batteries import BATTERIES, battery_sql, value_rows
 from quadrille.functions import fn
 from quadrille.operators import joins, relational
 from quadrille.operators.pivot import PivotSpec, ValueField, get_pivot_data, pivot
@@ -77,6 +78,16 @@ def single(name: str, tables: tuple[str, ...], cells: dict[str, tuple[str, str]]
     query(name, f"SELECT {', '.join(f'round(({s})::DOUBLE, {digits}) + 0.0 AS {k}' for k, (_, s) in cells.items())}")(run)
 
 
+# -- batteries ---------------------------------------------------------------------------------------
+
+
+def battery(name: str, cells: dict[str, str]) -> None:
+    query(name, battery_sql(cells))(lambda spark, sf_dir: value_rows(spark, list(cells)))
+
+
+for _name, _cells in BATTERIES.items():
+    battery(_name, _cells)
+
 # -- aggregates --------------------------------------------------------------------------------------
 
 _L = "lineitem"

@@ -5,17 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quadrille.functions.registry import scalar
+from quadrille.functions.registry import known, scalar
 
 _L = F.lit
 #: Serial 60 is a day that never was, 29 February 1900; later serials count from here.
 _EPOCH = "1899-12-30"
 
 
+def _dated(serial: Column, day: Column) -> Column:
+    """The serial, which remembers the date it was made from, so that date functions need not convert it back."""
+    serial.__dict__["_day"] = F.when(day >= F.to_date(_L("1899-12-31")), day)
+    return serial
+
+
+def or_zero(x: Column) -> Column:
+    """0 for a blank, the date of serial 0 where one is remembered."""
+    out, day = F.coalesce(x, _L(0.0)), x.__dict__.get("_day")
+    if day is not None:
+        out.__dict__["_day"] = F.when(x.isNull(), F.to_date(_L("1899-12-31"))).otherwise(day)
+    return out
+
+
 def day_serial(d: Column) -> Column:
     """Serial number of a date."""
     days = F.datediff(d, F.to_date(_L(_EPOCH)))
-    return (days - F.when(days <= 60, 1).otherwise(0)).cast("double")
+    return _dated((days - F.when(days <= 60, 1).otherwise(0)).cast("double"), d)
 
 
 def to_serial(d: Column) -> Column:
@@ -23,12 +37,22 @@ def to_serial(d: Column) -> Column:
     days = F.datediff(F.to_date(d), F.to_date(_L(_EPOCH)))
     moment = F.to_timestamp(d)
     part = (F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)) / 86400.0
-    return F.when(days <= 60, days - 1).otherwise(days).cast("double") + part
+    return _dated(F.when(days <= 60, days - 1).otherwise(days).cast("double") + part, F.to_date(d))
 
 
 def from_serial(x: Column) -> Column:
     """Date of a serial number."""
-    return F.when(x >= 0, F.date_add(F.to_date(_L(_EPOCH)), (F.floor(x) + (x < 60).cast("int")).cast("int")))
+    day = x.__dict__.get("_day")
+    return day if day is not None else F.when(x >= 0, F.date_add(F.to_date(_L(_EPOCH)), (F.floor(x) + (x < 60).cast("int")).cast("int")))
+
+
+def _ordered(a: Column, b: Column) -> tuple[Column, Column]:
+    """The earlier and the later of two serials."""
+    s, e = F.least(a, b), F.greatest(a, b)
+    if "_day" in a.__dict__ and "_day" in b.__dict__:
+        x, y = from_serial(a), from_serial(b)
+        s.__dict__["_day"], e.__dict__["_day"] = F.least(x, y), F.greatest(x, y)
+    return s, e
 
 
 def moment_of(x: Column) -> Column:
@@ -81,7 +105,11 @@ _date("TIME", sig="nnn")(lambda h, m, s: F.pmod(F.floor(h) * 3600 + F.floor(m) *
 @_date("WEEKDAY", sig="d|n")
 def weekday(d: Column, kind: Column = 1) -> Column:
     sunday = F.dayofweek(from_serial(d))  # 1 is Sunday
+    if known(kind) == 1:
+        return _n(sunday)
     monday = F.pmod(sunday - 2, _L(7))
+    if known(kind) in (2, 3):
+        return _n(monday + (1 if known(kind) == 2 else 0))
     shifted = lambda first: F.pmod(monday - (first - 11), _L(7)) + 1
     out = F.when(kind == 2, monday + 1).when(kind == 3, monday)
     for first in range(11, 18):
@@ -94,6 +122,8 @@ def weeknum(d: Column, kind: Column = 1) -> Column:
     day = from_serial(d)
     first = F.trunc(day, "year")
     monday = F.pmod(F.dayofweek(first) - 2, _L(7))
+    if known(kind) == 1:
+        return _n(F.floor((F.dayofyear(day) - 1 + F.pmod(monday - 6, _L(7))) / 7) + 1)
     start = F.when(kind.isin(2, 11), 0).when(kind == 12, 1).when(kind == 13, 2).when(kind == 14, 3).when(kind == 15, 4).when(kind == 16, 5).otherwise(6)
     week = F.floor((F.dayofyear(day) - 1 + F.pmod(monday - start, _L(7))) / 7) + 1
     return _n(F.when(kind == 21, F.weekofyear(day)).otherwise(week))
@@ -103,6 +133,9 @@ def weeknum(d: Column, kind: Column = 1) -> Column:
 def datedif(s: Column, e: Column, unit: Column) -> Column:
     (y1, m1, d1), (y2, m2, d2) = _ymd(s), _ymd(e)
     months = (y2 - y1) * 12 + m2 - m1 - F.when(d2 < d1, 1).otherwise(0)
+    plain = {"Y": F.floor(months / 12), "M": months, "D": F.floor(e) - F.floor(s), "YM": F.pmod(months, _L(12))}.get(str(known(unit)).upper())
+    if plain is not None:
+        return F.when(F.floor(e) >= F.floor(s), _n(plain))
     u = F.upper(unit)
     whole = F.add_months(from_serial(s), months)
     year = F.add_months(from_serial(s), F.floor(months / 12).cast("int") * 12)
@@ -137,8 +170,11 @@ _date("DAYS360", sig="dd|b")(lambda s, e, euro=False: F.when(euro, _day360(s, e,
 
 @_date("YEARFRAC", sig="dd|n")
 def yearfrac(a: Column, b: Column, basis: Column = 0) -> Column:
-    s, e = F.least(a, b), F.greatest(a, b)
+    s, e = _ordered(a, b)
     days = F.floor(e) - F.floor(s)
+    simple = {0: lambda: _day360(s, e, False, True) / 360, 2: lambda: days / 360, 3: lambda: days / 365, 4: lambda: _day360(s, e, True, False) / 360}.get(known(basis))
+    if simple is not None:
+        return simple()
     y1, y2 = F.year(from_serial(s)), F.year(from_serial(e))
     leap = lambda y: ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)
     within = F.add_months(from_serial(s), 12) >= from_serial(e)
@@ -147,6 +183,8 @@ def yearfrac(a: Column, b: Column, basis: Column = 0) -> Column:
     short = F.when(((y1 == y2) & leap(y1)) | inside(y1) | inside(y2), 366.0).otherwise(365.0)
     long = F.datediff(F.make_date(y2 + 1, _L(1), _L(1)), F.make_date(y1, _L(1), _L(1))) / (y2 - y1 + 1)
     actual = days / F.when(within, short).otherwise(long)
+    if known(basis) == 1:
+        return actual
     return F.when(basis == 1, actual).when(basis == 2, days / 360).when(basis == 3, days / 365).when(basis == 4, _day360(s, e, True, False) / 360).when(basis == 0, _day360(s, e, False, True) / 360)
 
 
@@ -165,8 +203,14 @@ def is_workday(day: Column, weekend: int | str | None = None, holidays: Column |
 
 def networkdays(s: Column, e: Column, weekend: int | str | None = None, holidays: Column | None = None) -> Column:
     """Working days between two serials, both included; negative if the end is first."""
-    a, b = from_serial(F.least(s, e)), from_serial(F.greatest(s, e))
-    n = F.size(F.filter(F.sequence(a, b, F.expr("interval 1 day")), lambda d: is_workday(d, weekend, holidays)))
+    a, b = (from_serial(x) for x in _ordered(s, e))
+    if holidays is None:
+        # Whole weeks have the same number of working days; those of the rest are counted by week day.
+        off = _weekend(weekend)
+        days, first = F.datediff(b, a) + 1, F.weekday(a)
+        n = F.floor(days / 7) * (7 - len(off)) + sum((F.pmod(first + i, _L(7)).isin(*set(range(7)) - off) & (i < days % 7)).cast("int") for i in range(6)) if len(off) < 7 else _L(0)
+    else:
+        n = F.size(F.filter(F.sequence(a, b, F.expr("interval 1 day")), lambda d: is_workday(d, weekend, holidays)))
     return _n(F.when(s <= e, n).otherwise(-n))
 
 

@@ -438,22 +438,15 @@ def amorlinc(cost: float, bought: float, first: float, salvage: float, period: f
 
 @kernel("AMORDEGRC", sig="nddnnn|n")
 def amordegrc(cost: float, bought: float, first: float, salvage: float, period: float, rate: float, basis: float = 0) -> float:
-    _need(cost > 0, rate > 0, period >= 0)
-    life = 1 / rate
-    _need(life >= 3, not 4 < life < 5)
-    factor = 1.5 if 3 <= life <= 4 else 2.0 if 5 <= life <= 6 else 2.5 if life > 6 else 1.0
-    pace, book = rate * factor, cost
-    half_up = lambda x: math.floor(x + 0.5)
-    out = half_up(pace * cost * year_part(day(bought), day(first), int(basis)))
-    book -= out
-    rest = book - salvage
-    for i in range(int(period)):
-        out = half_up(pace * book)
-        rest -= out
-        if rest < 0:
-            return float(half_up(book * 0.5)) if int(period) - i in (0, 1) else 0.0
-        book -= out
-    return float(out)
+    _need(cost > 0, 0 < rate < 0.5, period >= 0, int(basis) != 2)
+    life, half_up = 1 / rate, lambda x: float(math.floor(x + 0.5))
+    pace = rate * (1.5 if life < 5 else 2.0 if life < 6 else 2.5)
+    first_part = cost * pace * year_part(day(bought), day(first), int(basis))
+    if period == 0:
+        return half_up(min(first_part, cost - salvage))
+    # The book value falls by the pace each period, unrounded; what is left above the salvage comes last.
+    book = (cost - first_part) * (1 - pace) ** (int(period) - 1)
+    return half_up(max(min(book * pace, book - salvage), 0.0))
 
 
 # -- odd coupons ---------------------------------------------------------------------------------

@@ -52,6 +52,18 @@ class Function:
 FUNCTIONS: dict[str, Function] = {}
 
 
+def constant(value: float | str) -> Column:
+    """A literal that builders can look into with ``known``."""
+    x = F.lit(value)
+    x.__dict__["_known"] = value
+    return x
+
+
+def known(x: Column) -> object | None:
+    """The value of an argument that is a literal of the formula, else None."""
+    return x.__dict__.get("_known")
+
+
 def _filled(build: Callable[..., Column], signature: str) -> Callable[..., Column]:
     """The builder with left-out arguments given as literals of their defaults (modules load without a session)."""
     parameters = [p for p in inspect.signature(build).parameters.values() if p.kind is p.POSITIONAL_OR_KEYWORD]
@@ -61,7 +73,7 @@ def _filled(build: Callable[..., Column], signature: str) -> Callable[..., Colum
         rest = [p.default for p in parameters[len(args) :]]
         if not any(d is not None and d is not inspect.Parameter.empty and isinstance(d, (int, float, str)) for d in rest):
             return build(*args)
-        return build(*args, *(F.lit(d) if isinstance(d, (int, float, str)) else d for d in rest if d is not inspect.Parameter.empty))
+        return build(*args, *(constant(d) if isinstance(d, (int, float, str)) else d for d in rest if d is not inspect.Parameter.empty))
 
     return full
 

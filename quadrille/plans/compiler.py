@@ -16,17 +16,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.functions import FUNCTIONS
-from quadrille.functions.dates import from_serial, moment_of, networkdays, to_serial, workday
+from quadrille.functions.dates import from_serial, moment_of, networkdays, or_zero, to_serial, workday
 from quadrille.functions.registry import finite
 from quadrille.functions.text import display, text_format
 from quadrille.plans import formula as fx
-from quadrille.plans.criteria import correlated, criterion
+from quadrille.plans.criteria import correlated, criterion, same_text
 
 
 class CompileError(ValueError):
@@ -123,7 +124,8 @@ def as_text(v: Value) -> Column:
     if v.type == "date":
         return display(to_serial(v.col))
     if v.type == "array":
-        return F.array_join(v.col, ", ")
+        # Whole numbers of an array are shown without a point.
+        return F.array_join(F.transform(v.col, lambda x: F.regexp_replace(x.cast("string"), r"^(-?[0-9]+)\.0$", "$1")), ", ")
     return display(v.col.cast("double"))
 
 
@@ -140,8 +142,13 @@ def coerced(v: Value, letter: str) -> Column:
     if letter in "nd":
         # A blank counts as zero; text that is no number stays NULL.
         x = as_number(v)
-        return x if v.literal or v.err is not None or v.type in ("text", MIXED) else F.coalesce(x, F.lit(0.0))
-    return {"t": as_text, "b": as_bool}.get(letter, lambda v: v.col)(v)
+        if v.literal and isinstance(v.py, (int, float)) and not isinstance(v.py, bool):
+            x.__dict__["_known"] = float(v.py)
+        return x if v.literal or v.err is not None or v.type in ("text", MIXED) else or_zero(x)
+    out = {"t": as_text, "b": as_bool}.get(letter, lambda v: v.col)(v)
+    if letter == "t" and v.literal and isinstance(v.py, str):
+        out.__dict__["_known"] = v.py
+    return out
 
 
 @dataclass
@@ -174,6 +181,17 @@ _DATABASE = {"DAVERAGE": "AVERAGE", "DCOUNT": "COUNT", "DCOUNTA": "COUNTA", "DMA
 _TEXT_AS_ZERO = ("AVERAGEA", "MAXA", "MINA", "STDEVA", "STDEVPA", "VARA", "VARPA")
 
 
+#: Comparisons, and what each is with its sides exchanged.
+_MIRROR = {"=": "=", "<>": "<>", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
+
+
+def _is_truth(node: fx.Node) -> bool:
+    """Whether a formula's value is a truth value, or a product or sum of some, and so never negative."""
+    if isinstance(node, fx.Binary):
+        return node.op in _MIRROR or (node.op in ("*", "+") and _is_truth(node.left) and _is_truth(node.right))
+    return isinstance(node, fx.Call) and node.name in ("AND", "OR") and all(map(_is_truth, node.args))
+
+
 class Compiler:
     def __init__(self, context: Context):
         self.ctx = context
@@ -343,6 +361,30 @@ class Compiler:
             x, y = (F.coalesce(as_number(v), F.lit(0.0)) if not v.literal else as_number(v) for v in (a, b))
         return {"=": x == y, "<>": x != y, "<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
 
+    def filter_condition(self, node: fx.Node) -> Column:
+        """A formula as a filter's condition, in which NULL counts as false: products of truth values become AND,
+        sums OR, and comparisons of a column with a literal stay bare, so that they reach the scan."""
+        if isinstance(node, fx.Binary) and node.op in ("*", "+") and _is_truth(node.left) and _is_truth(node.right) and self.value(node).err is None:
+            a, b = self.filter_condition(node.left), self.filter_condition(node.right)
+            return a & b if node.op == "*" else a | b
+        if isinstance(node, fx.Call) and node.name in ("AND", "OR") and all(map(_is_truth, node.args)) and all(self.value(x).err is None for x in node.args):
+            parts = [self.filter_condition(x) for x in node.args]
+            return reduce(lambda a, b: a & b if node.name == "AND" else a | b, parts)
+        if isinstance(node, fx.Binary) and node.op in _MIRROR:
+            a, b, op = self.value(node.left), self.value(node.right), node.op
+            if a.literal and not b.literal:
+                a, b, op = b, a, _MIRROR[op]
+            if b.literal and not a.literal and a.err is None:
+                if a.type == b.type == "num" and isinstance(b.py, (int, float)):
+                    bare = {"=": a.col == b.col, "<>": a.col != b.col, "<": a.col < b.col, ">": a.col > b.col, "<=": a.col <= b.col, ">=": a.col >= b.col}[op]
+                    # A blank counts as zero.
+                    return bare | a.col.isNull() if {"=": 0 == b.py, "<>": 0 != b.py, "<": 0 < b.py, ">": 0 > b.py, "<=": 0 <= b.py, ">=": 0 >= b.py}[op] else bare
+                if a.type == b.type == "text" and isinstance(b.py, str) and b.py and op in ("=", "<>"):
+                    same = same_text(a.col, b.py)
+                    return same if op == "=" else a.col.isNull() | ~same
+        v = self.value(node)
+        return v.col.cast("boolean") if v.type == "bool" else v.col != 0
+
     # -- arrays ----------------------------------------------------------------------------------
 
     def array_of(self, node: fx.Node) -> Value:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
 
 from pyspark.sql import Column
@@ -37,8 +39,23 @@ def _compare(op: str, a: Column, b: Column) -> Column:
     return {"=": a == b, "<>": a != b, "<": a < b, ">": a > b, "<=": a <= b, ">=": a >= b}[op]
 
 
+#: Case variants that an equality of text lists, so that it reaches the scan.
+_VARIANTS = 64
+
+
+def same_text(column: Column, bound: str) -> Column:
+    """Equality without regard to case, as a list of all case variants where these are few; NULL for NULL."""
+    low = bound.lower()
+    if low.isascii():
+        # The Kelvin sign is the one further character whose lower case is an ASCII letter.
+        letters = [dict.fromkeys((c, c.upper(), *("\u212a" * (c == "k")))) for c in low]
+        if math.prod(map(len, letters)) <= _VARIANTS:
+            return column.isin(["".join(x) for x in itertools.product(*letters)])
+    return F.lower(column) == F.lit(low)
+
+
 def criterion(column: Column, dtype: str, value: float | str | bool | None) -> Column:
-    """Rows of a column (dtype: num, text, bool or date) that meet a literal criterion; never NULL.
+    """Rows of a column (dtype: num, text, bool or date) that meet a literal criterion; NULL counts as not met.
 
     Numbers are compared with numbers only; text is equal without regard to case, * and ? stand for any
     characters. A bound of an order comparison that is no number counts as 0. Blanks meet only "=", "" and "<>…".
@@ -55,18 +72,18 @@ def criterion(column: Column, dtype: str, value: float | str | bool | None) -> C
     if value is None:
         value = ""
     if isinstance(value, bool):
-        return F.coalesce(column == F.lit(value), F.lit(False)) if dtype == "bool" else F.lit(False)
+        return column == F.lit(value) if dtype == "bool" else F.lit(False)
     if not isinstance(value, str):
-        return F.coalesce(column == F.lit(float(value)), F.lit(False)) if dtype in ("num", "date") else F.lit(False)
+        return column == F.lit(float(value)) if dtype in ("num", "date") else F.lit(False)
     op = next((o for o in _OPS if value.startswith(o)), "")
     bound = value[len(op) :]
     number = _number(bound)
     if op in ("<", ">", "<=", ">="):
         if dtype == "date" and number is None and bound:
-            return F.coalesce(_compare(op, column, F.lit(bound).cast("timestamp")), F.lit(False))
+            return _compare(op, column, F.lit(bound).cast("timestamp"))
         if dtype not in ("num", "date"):
             return F.lit(False)
-        return F.coalesce(_compare(op, column, F.lit(number if number is not None else 0.0)), F.lit(False))
+        return _compare(op, column, F.lit(number if number is not None else 0.0))
     if bound == "":
         blank = column.isNull() | (column == "") if dtype == "text" else column.isNull()
         return ~blank if op == "<>" else blank
@@ -76,11 +93,10 @@ def criterion(column: Column, dtype: str, value: float | str | bool | None) -> C
         equal = column == F.lit(number)
     elif dtype == "text":
         regex = wildcard_regex(bound)
-        equal = column.rlike(regex) if regex else F.lower(column) == F.lit(bound.lower())
+        equal = column.rlike(regex) if regex else same_text(column, bound)
     else:
         equal = F.lit(False)
-    equal = F.coalesce(equal, F.lit(False))
-    return ~equal if op == "<>" else equal
+    return column.isNull() | ~equal if op == "<>" else equal
 
 
 def correlated(column: Column, dtype: str, value: Column) -> Column:

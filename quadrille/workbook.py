@@ -182,9 +182,8 @@ class Workbook:
         return df, ["_r"], None
 
     def predicate(self, node: fx.Node, t: Table) -> Column:
-        """A condition on a table's ranges, row by row."""
-        v = Compiler(Context(self.tables, t, False)).value(node)
-        return v.col.cast("boolean") if v.type == "bool" else v.col != 0
+        """A condition on a table's ranges, row by row; NULL counts as false."""
+        return Compiler(Context(self.tables, t, False)).filter_condition(node)
 
     # -- pivots ----------------------------------------------------------------------------------
 
@@ -239,7 +238,7 @@ def _array(name: str):
 def _filter(wb: Workbook, table: str | None, data: fx.Node, include: fx.Node, empty: fx.Node | None = None):
     c = wb.compiler(table)
     t, columns, rows = c.range_of(data)
-    df = t.df.where(F.coalesce(wb.predicate(include, t), F.lit(False)))
+    df = t.df.where(wb.predicate(include, t))
     df = df if rows is None else df.where(rows)
     return df.select(*dict.fromkeys([*columns, *t.order])), list(t.order), t
 

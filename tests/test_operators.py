@@ -114,3 +114,45 @@ def test_set_operators(spark):
     assert sorted(r.x for r in relational.intersect(a, b, ["x"]).collect()) == [1, 1, 3]
     assert sorted(r.x for r in relational.except_(a, b, ["x"]).collect()) == [2]
     assert sorted(r.x for r in relational.unique(a, once=True).collect()) == [2, 3]
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    from quadrille.plans import formula as fx
+    from quadrille.workbook import Workbook
+
+    spark.createDataFrame([(1, 5.0, "promo"), (2, 60.0, "PROMO"), (3, None, None), (4, 70.0, "Kilo")], "k int, x double, t string").write.parquet(str(tmp_path / "t"))
+    wb = Workbook(spark)
+    wb.add("t", spark.read.parquet(str(tmp_path / "t")), "k")
+    for formula, keys, pushed in (
+        ('FILTER(t,(t[x]>50)*(t[t]="promo"))', {2}, ["GreaterThan(x,50.0)", "In(t"]),
+        ('FILTER(t,(t[x]<50)+(t[t]="kilo"))', {1, 3, 4}, ["Or("]),
+        ('FILTER(t,AND(t[x]<>60,t[t]<>"PROMO"))', {3, 4}, ["Or("]),
+        ("FILTER(t,t[x]=0)", {3}, ["Or("]),
+        ("FILTER(t,70<=t[x])", {4}, ["GreaterThanOrEqual(x,70.0)"]),
+    ):
+        df = wb.evaluate(formula)
+        assert {r.k for r in df.collect()} == keys, formula
+        plan = df._jdf.queryExecution().executedPlan().toString() + df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        assert all(p in plan for p in pushed), (formula, plan)
+    c = wb.compiler()
+    cell = spark.range(1).select(c.value(fx.parse('SUMIFS(t[x],t[t],"PROMO",t[x],">50")')).col.alias("v"))
+    assert cell.first().v == 60.0
+    assert "GreaterThan(x,50.0)" in cell._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_batteries_against_sql(spark):
+    """Every formula of the batteries against the SQL that computes its value another way."""
+    import duckdb
+
+    from quadrille.batteries import BATTERIES, battery_sql, value_rows
+
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
+    try:
+        for name, cells in BATTERIES.items():
+            want = {r[0]: r[1:] for r in duckdb.sql(battery_sql(cells)).fetchall()}
+            got = {r.formula: (r.number, r.text) for r in value_rows(spark, list(cells)).collect()}
+            assert got == want, (name, {f: (got[f], want[f]) for f in want if got.get(f) != want[f]})
+    finally:
+        spark.conf.unset("spark.sql.codegen.wholeStage")
+        spark.conf.unset("spark.sql.codegen.factoryMode")

@@ -159,7 +159,7 @@ def value_rows(spark: SparkSession, formulas: list[str]) -> DataFrame:
         elif kind == "string":
             text = v.col
         elif kind.startswith("array"):
-            text = F.to_json(v.col)
+            text = F.to_json(F.transform(v.col, lambda x: F.round(x, DIGITS) + F.lit(0.0)) if kind == "array<double>" else v.col)
         else:
             number = F.round(v.col.cast("double"), DIGITS) + F.lit(0.0)
         return F.struct(F.lit(f).alias("formula"), F.when(error.isNull(), number).alias("number"), F.coalesce(error, text).alias("text"))

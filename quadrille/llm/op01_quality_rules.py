@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import cut
+from quadrille.llm.common import cut, lean
 from quadrille.llm.textstats import FEATURES, statistics
 
 SHARE = 0.75
@@ -155,7 +155,7 @@ def _passed(rows: DataFrame, width: int, visit) -> DataFrame:
 
     # Summed once more by (group, start, bin), so that a group's task gets a bounded number of rows.
     added = F.array(*(F.sum(F.col("sums")[i]) for i in range(width))).alias("sums")
-    return rows.mapInArrow(run, _SUMS).groupBy("grp", "start", "bin").agg(added)
+    return rows.mapInArrow(lean(run), _SUMS).groupBy("grp", "start", "bin").agg(added)
 
 
 def _moments(x: np.ndarray) -> np.ndarray:
@@ -346,4 +346,4 @@ def _measured(stats: DataFrame, plain: list[str], models: dict) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(d, mask=np.isnan(d))], [*plain, "distance"])
 
     kinds = {f.name: f.dataType.simpleString() for f in stats.schema.fields}
-    return stats.select("grp", "features", *plain).mapInArrow(measure, ", ".join(f"{c} {kinds[c]}" for c in plain) + ", distance double")
+    return stats.select("grp", "features", *plain).mapInArrow(lean(measure), ", ".join(f"{c} {kinds[c]}" for c in plain) + ", distance double")

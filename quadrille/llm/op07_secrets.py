@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import row_chunks, text_bytes
+from quadrille.llm.common import lean, row_chunks, text_bytes
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "github", "npm", "jwt", "pem")
@@ -148,6 +148,12 @@ def scan_batch(column: pa.Array, found: ahocorasick.Automaton) -> Iterator[list[
             yield spans
 
 
+def _pieces(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about a chunk of text each, so that few texts are Python strings at once."""
+    for lo, hi in row_chunks(text_bytes(batch.column(column))[1]):
+        yield batch.slice(lo, hi - lo)
+
+
 def _joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
@@ -162,13 +168,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton()
-        for batch in batches:
+        for batch in (x for whole in batches for x in _pieces(whole, 1)):
             rows = list(scan_batch(batch.column(1), found))
             count = [pa.array([sum(k == kind for _, _, k in r) for r in rows], pa.int64()) for kind in BASE_KINDS]
             digest = [hashlib.sha256(_joined([x for x in r if x[2] in BASE_KINDS]).encode()).hexdigest() for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), *count, pa.array(digest, pa.string()), pa.array([_joined(r) for r in rows], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return texts.mapInArrow(scan, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return texts.mapInArrow(lean(scan), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -177,7 +183,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]"
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = automaton()
-        for batch in batches:
+        for batch in (x for whole in batches for x in _pieces(whole, place)):
             texts = batch.column(place).to_pylist()
             for i, spans in enumerate(scan_batch(batch.column(place), found)):
                 if spans:
@@ -189,4 +195,4 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]"
                     texts[i] = "".join([*out, texts[i][at:]])
             yield batch.set_column(place, batch.schema.names[place], pa.array(texts, batch.schema.field(place).type))
 
-    return docs.mapInArrow(mask, docs.schema)
+    return docs.mapInArrow(lean(mask), docs.schema)

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import Words, cut, mix64, row_chunks, stored, text_bytes
+from quadrille.llm.common import CHUNK_BYTES, Words, cut, lean, mix64, row_chunks, stored, text_bytes
 from quadrille.llm.components import components
 
 WIDTH, SIDE = 3, 16
@@ -115,13 +115,17 @@ def _packer(k: int):
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Packed texts as row ranges with the rows' begins (one more than rows) and sorted shingles."""
-    expand = zstandard.ZstdDecompressor()
-    raw = [expand.decompress(x.as_py()) if x.is_valid else b"" for x in column]
-    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    for lo, hi in row_chunks(offs):
-        row, h = Words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lower=True).shingles(k)
-        yield lo, hi, np.searchsorted(row, np.arange(hi - lo + 1)), h
+    expand, at = zstandard.ZstdDecompressor(), 0
+    while at < len(column):
+        raw, size = [], 0
+        while at + len(raw) < len(column) and size < CHUNK_BYTES:
+            x = column[at + len(raw)]
+            raw.append(expand.decompress(x.as_py()) if x.is_valid else b"")
+            size += len(raw[-1])
+        offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+        row, h = Words(np.frombuffer(b"".join(raw), np.uint8), offs, lower=True).shingles(k)
+        yield at, at + len(raw), np.searchsorted(row, np.arange(len(raw) + 1)), h
+        at += len(raw)
 
 
 def _linked(shared: np.ndarray, n: np.ndarray, m: np.ndarray | int, percent: int) -> np.ndarray:
@@ -225,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(texts.mapInArrow(_signer(shingle, width, side), _SIGNED))
+    signed = cut(texts.mapInArrow(lean(_signer(shingle, width, side)), _SIGNED))
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     # Equal sets are one class; its signature is that of any of its rows.
     same = ["h1", "h2", "n_shingles"]
@@ -248,14 +252,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = classes.join(members, "node").select("node", "rid", *same, "c1", "c2")
     # One text of each class; rows that repeat an id are told apart by their sets.
     wanted = stored(chosen.select(F.col("rid").alias("doc_id")).distinct())
-    raw = texts.join(wanted, "doc_id", "left_semi").mapInArrow(_packer(shingle), "h1 bigint, h2 bigint, n_shingles bigint, z binary")
+    raw = texts.join(wanted, "doc_id", "left_semi").mapInArrow(lean(_packer(shingle)), "h1 bigint, h2 bigint, n_shingles bigint, z binary")
     packed = cut(chosen.drop("rid").join(raw.groupBy(*same).agg(F.first("z").alias("z")), same).select("node", "n_shingles", "c1", "c2", "z"))
 
     salts = star.groupBy("a").agg(F.ceil(F.count("*") / F.lit(STAR_ROWS)).alias("salts"))
     centres = salts.select("a", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("a").alias("node"))
     others = star.join(salts, "a").select("a", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), F.lit(1).alias("side"), "node")
     rows = centres.unionByName(others).join(packed.select("node", "z"), "node").select("a", "salt", "side", "node", "z")
-    near = cut(rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(_star(shingle, percent), "a bigint, b bigint"))
+    near = cut(rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "side").mapInArrow(lean(_star(shingle, percent)), "a bigint, b bigint"))
     joined = cut(components(near))
 
     # Buckets with classes that are apart still.
@@ -274,7 +278,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         dealt.select("g", "i", "lo", "hi", "side", "node", "root", "c1", "c2", "z")
         .repartition(parts, "g", "lo", "hi")
         .sortWithinPartitions("g", "lo", "hi")
-        .mapInArrow(_linker(shingle, percent), "a bigint, b bigint")
+        .mapInArrow(lean(_linker(shingle, percent)), "a bigint, b bigint")
     )
     # What the second step links are the components of the first.
     of = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))

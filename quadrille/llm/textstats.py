@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import Words, row_chunks, text_bytes
+from quadrille.llm.common import Words, lean, row_chunks, text_bytes
 
 SYMBOLS = "#*$%&|<>"
 #: Exact counts, then the shares and means of the statistic vector.
@@ -97,4 +97,4 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, *carry: str) -> Data
                 )
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[1:])
-    return texts.mapInArrow(run, f"{kept}, {', '.join(f'{c} bigint' for c in COUNTS)}, features array<double>")
+    return texts.mapInArrow(lean(run), f"{kept}, {', '.join(f'{c} bigint' for c in COUNTS)}, features array<double>")

@@ -153,21 +153,24 @@ def value_rows(spark: SparkSession, formulas: list[str]) -> DataFrame:
         v = compiler.value(fx.parse(f))
         kind = spark.range(1).select(v.col.alias("v")).schema["v"].dataType.simpleString()
         error = v.err if v.err is not None else F.lit(None).cast("string")
-        number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
+        number, text, several = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("array<double>")
         if kind == "boolean":
             text = F.when(v.col, "TRUE").when(~v.col, "FALSE")
         elif kind == "string":
             text = v.col
+        elif kind == "array<double>":
+            several = v.col
         elif kind.startswith("array"):
-            text = F.to_json(F.transform(v.col, lambda x: F.round(x, DIGITS) + F.lit(0.0)) if kind == "array<double>" else v.col)
+            text = F.to_json(v.col)
         else:
             number = F.round(v.col.cast("double"), DIGITS) + F.lit(0.0)
-        return F.struct(F.lit(f).alias("formula"), F.when(error.isNull(), number).alias("number"), F.coalesce(error, text).alias("text"))
+        return F.struct(F.lit(f).alias("formula"), F.when(error.isNull(), number).alias("number"), F.coalesce(error, text).alias("text"), several.alias("several"))
 
     # Each row's cells are computed apart and stacked.
     names = [f"c{i}" for i in range(len(formulas))]
     cells = spark.range(1).select(*(row(f).alias(n) for n, f in zip(names, formulas, strict=True)))
-    return cells.select(F.explode(F.array(*names)).alias("r")).select("r.formula", "r.number", "r.text")
+    rounded = F.to_json(F.transform("r.several", lambda x: F.round(x, DIGITS) + F.lit(0.0)))
+    return cells.select(F.explode(F.array(*names)).alias("r")).select("r.formula", "r.number", F.coalesce("r.text", rounded).alias("text"))
 
 
 def battery_sql(cells: dict[str, str]) -> str:

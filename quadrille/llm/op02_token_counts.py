@@ -72,7 +72,7 @@ class Vocabulary:
 
     def __post_init__(self):
         object.__setattr__(self, "least", min(s for _, s in self.pieces))
-        object.__setattr__(self, "apart", not any(MARK in p.lstrip(MARK) or s != int(s) or abs(s) > 2**24 for p, s in self.pieces))
+        object.__setattr__(self, "apart", not any(MARK in p.lstrip(MARK) or s != int(s) for p, s in self.pieces))
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -141,7 +141,8 @@ class Counter:
         marked = text.replace(" ", MARK)
         if self.vocabulary.prefix:
             marked = MARK + marked
-        if not self.vocabulary.apart:
+        # Every sum of whole scores stays below 2^53, and so exact, unless a text is millions of characters long.
+        if not self.vocabulary.apart or len(marked) * -self.unknown >= 2**53:
             return self.viterbi(marked)
         total, pieces, held = 0.0, 0, self.remembered
         for part in self._parts(marked):

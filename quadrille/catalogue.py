@@ -128,6 +128,27 @@ grouped("agg_subtotal", "supplier", ["s_nationkey"], {
 
 # -- statistics ---------------------------------------------------------------------------------------
 
+_PLACED = "(SELECT l_extendedprice AS x, row_number() OVER (ORDER BY l_extendedprice) AS i, count(*) OVER () AS n FROM lineitem)"
+
+
+def _exc(k: float) -> str:
+    return f"(SELECT max(x) FILTER (i = floor({k} * (n + 1))) + max({k} * (n + 1) - floor({k} * (n + 1))) * (max(x) FILTER (i = floor({k} * (n + 1)) + 1) - max(x) FILTER (i = floor({k} * (n + 1)))) FROM {_PLACED})"
+
+
+single("order_stats", ("lineitem",), {
+    "large10": ("LARGE(lineitem[l_extendedprice],10)", f"(SELECT max(x) FILTER (i = n - 9) FROM {_PLACED})"), "small5": ("SMALL(lineitem[l_extendedprice],5)", f"(SELECT max(x) FILTER (i = 5) FROM {_PLACED})"),
+    "avedev": ("AVEDEV(lineitem[l_extendedprice])", "(SELECT avg(abs(l_extendedprice - m)) FROM lineitem, (SELECT avg(l_extendedprice) AS m FROM lineitem))"),
+    "p_exc": ("PERCENTILE.EXC(lineitem[l_extendedprice],0.9)", _exc(0.9)), "q_exc": ("QUARTILE.EXC(lineitem[l_extendedprice],1)", _exc(0.25)),
+    "trim": ("TRIMMEAN(lineitem[l_extendedprice],0.1)", f"(SELECT avg(x) FILTER (i > floor(n * 0.1 / 2) AND i <= n - floor(n * 0.1 / 2)) FROM {_PLACED})"),
+    "tied": ("PERCENTILE.EXC(lineitem[l_quantity],0.5)", "(SELECT median(l_quantity) FROM lineitem)"), "freq": ("INDEX(FREQUENCY(lineitem[l_quantity],{10,20}),2)", "(SELECT count(*) FROM lineitem WHERE l_quantity > 10 AND l_quantity <= 20)"),
+}, digits=3)
+_AT = "(SELECT p_retailprice AS y, p_size AS x, p_partkey AS k, row_number() OVER (ORDER BY p_partkey) AS i FROM part)"
+single("regression_defaults", ("part",), {
+    "slope": ("INDEX(LINEST(part[p_retailprice]),1)", f"(SELECT regr_slope(y, i) FROM {_AT})"), "base": ("INDEX(LOGEST(part[p_retailprice]),1)", f"(SELECT exp(regr_slope(ln(y), i)) FROM {_AT})"),
+    "next": ("TREND(part[p_retailprice],,3000)", f"(SELECT regr_intercept(y, i) + regr_slope(y, i) * 3000 FROM {_AT})"), "start": ("TREND(part[p_retailprice])", f"(SELECT regr_intercept(y, i) + regr_slope(y, i) FROM {_AT})"),
+    "first": ("GROWTH(part[p_retailprice],part[p_size])", f"(SELECT exp(regr_intercept(ln(y), x) + regr_slope(ln(y), x) * arg_min(x, k)) FROM {_AT})"),
+}, digits=5)
+
 _P = "p_retailprice"
 grouped("stats_descriptive", "part", ["p_type"], {
     "var_s": (f"VAR.S([@{_P}])", f"var_samp({_P})"), "var_p": (f"VAR.P([@{_P}])", f"var_pop({_P})"), "sd_s": (f"STDEV.S([@{_P}])", f"stddev_samp({_P})"), "sd_p": (f"STDEV.P([@{_P}])", f"stddev_pop({_P})"),
@@ -215,6 +236,23 @@ def _asof(spark, sf_dir):
     return joins.asof_lookup(o.select("o_orderkey", (F.col("o_custkey") * 3).alias("k")), p, "k", "p_partkey", {"band": "p_partkey"}).select("o_orderkey", "band")
 
 
+filled("lookups_near", "orders", "o_orderkey", {
+    "size": ("VLOOKUP([@o_custkey]*3,part,5)", "(SELECT arg_max(p_size, p_partkey) FROM part WHERE p_partkey <= o_custkey * 3)"),
+    "above": ("XLOOKUP([@o_custkey]*3,part[p_partkey],part[p_retailprice],-1,1)", "(SELECT coalesce(arg_min(p_retailprice, p_partkey), -1) FROM part WHERE p_partkey >= o_custkey * 3)"),
+    "place": ("MATCH([@o_totalprice]/100,part[p_partkey])", "(SELECT CASE WHEN count(*) > 0 THEN count(*) END FROM part WHERE p_partkey <= o_totalprice / 100)"),
+    "price": ("INDEX(part[p_retailprice],MATCH([@o_custkey]*3,part[p_partkey],1))", "(SELECT arg_max(p_retailprice, p_partkey) FROM part WHERE p_partkey <= o_custkey * 3)"),
+    "before": ("LOOKUP([@o_custkey],supplier[s_suppkey],supplier[s_acctbal])", "(SELECT arg_max(s_acctbal, s_suppkey) FROM supplier WHERE s_suppkey <= o_custkey)"),
+}, more=("part", "supplier"))
+single("match_places", ("part", "orders"), {
+    "first": ("MATCH(20,part[p_size],0)", "(SELECT count(*) FROM part WHERE p_partkey <= (SELECT min(p_partkey) FROM part WHERE p_size = 20))"),
+    "last": ("XMATCH(20,part[p_size],0,-1)", "(SELECT count(*) FROM part WHERE p_partkey <= (SELECT max(p_partkey) FROM part WHERE p_size = 20))"),
+    "below": ("MATCH(700.5,orders[o_orderkey])", "(SELECT count(*) FROM orders WHERE o_orderkey <= 700.5)"),
+    "above": ("MATCH(700.5,orders[o_orderkey],-1)", "(SELECT count(*) FROM orders WHERE o_orderkey <= (SELECT min(o_orderkey) FROM orders WHERE o_orderkey >= 700.5))"),
+    "missing": ("IFNA(MATCH(-1,orders[o_orderkey],0),-5)", "-5"),
+})
+filled("match_rows", "supplier", "s_suppkey", {"place": ("MATCH([@s_nationkey],nation[n_nationkey],0)", "(SELECT i FROM (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) WHERE n_nationkey = s_nationkey)")}, more=("nation",))
+
+
 @query("asof_by_group", "SELECT event_id, prev FROM (SELECT event_id, event_type, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p, arg_max(event_id, ts) FILTER (event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prev FROM events) WHERE event_type = 'click'")
 def _asof_group(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")

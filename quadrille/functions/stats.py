@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quadrille.functions.registry import FormulaError, aggregate, fold, scalar
+from quadrille.functions.registry import FormulaError, aggregate, fold, known, scalar
 
 _L = F.lit
 
@@ -187,6 +187,11 @@ aggregate("PROB", sig="rrn|n")(lambda x, p, lo, hi=None: F.when(F.abs(F.sum(p) -
 def frequency(x: Column, bins: Column) -> Column:
     """Counts up to each bound of a literal array, then above the last."""
     limits = F.array_sort(bins)
+    if known(bins) is not None:
+        # As many counts as the literal has bounds, and one more.
+        last = known(bins)
+        inside = [(F.lit(True) if i == 0 else x > F.get(limits, _L(i - 1))) & (F.lit(True) if i == last else x <= F.get(limits, _L(i))) & x.isNotNull() for i in range(last + 1)]
+        return F.array(*(F.count_if(b).cast("double") for b in inside))
     n = F.size(limits)
     values = F.collect_list(x)
     return F.transform(F.sequence(_L(0), n), lambda i: F.size(F.filter(values, lambda v: (F.coalesce(v > F.get(limits, i - 1), _L(True))) & (F.coalesce(v <= F.get(limits, i), _L(True))))).cast("double"))

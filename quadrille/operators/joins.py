@@ -35,7 +35,7 @@ def asof_lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     names = [f"_t{i}" for i in range(len(take))]
     row = F.struct(*(F.col(c).alias(n) for n, c in zip(names, take.values(), strict=True)))
     groups = list((by or {}).items())
-    key = F.col(left_key).cast("double") if not below else F.col(left_key)
+    key = F.col(left_key)
     a = left.select(F.struct(*left.columns).alias("_left"), key.alias("_k"), F.lit(1 if below else 0).alias("_side"), F.lit(None).cast("string").alias("_n"), *(F.col(c).alias(f"_g{i}") for i, (c, _) in enumerate(groups)))
     b = right.select(F.col(right_key).alias("_k"), F.lit(0 if below else 1).alias("_side"), row.alias("_right"), *(F.col(c).alias(f"_g{i}") for i, (_, c) in enumerate(groups)))
     both = a.drop("_n").unionByName(b, allowMissingColumns=True)
@@ -57,6 +57,18 @@ def asof_lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return found.where("_left is not null").select("_left.*", *(F.col(f"_hit.{n}").alias(k) for n, k in zip(names, take, strict=True)))
 
 
+def with_nearest(left: DataFrame, name: str, key: Column, right: DataFrame, below: bool) -> DataFrame:
+    """``left`` with ``_hit`` of the nearest ``_key`` of ``right`` as a column; NULL where none is near, or the key is NULL.
+
+    The as-of step sees each distinct key once and none of left's other columns; a key that many rows hold is a
+    skewed key of an equality join, which adaptive execution splits.
+    """
+    keyed = left.withColumn(f"{name}_k", key)
+    wanted = keyed.select(F.col(f"{name}_k").alias("_want")).where("_want is not null").distinct()
+    hits = asof_lookup(wanted, right, "_want", "_key", {name: "_hit"}, below=below).withColumnRenamed("_want", f"{name}_w")
+    return keyed.join(hits, F.col(f"{name}_k") == F.col(f"{name}_w"), "left").drop(f"{name}_k", f"{name}_w")
+
+
 def semi(left: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFrame:
     """Rows with COUNTIF(right, key) > 0."""
     keys = right.select(*(F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values()))).distinct()

@@ -101,6 +101,20 @@ def to_column(df: DataFrame, order: Order, ignore_blank: bool = False) -> DataFr
     return cells.where("value is not null") if ignore_blank else cells
 
 
+#: Cells of one row of a sheet, a fixed value of the file format.
+WIDEST = 16384
+
+
+def to_row(df: DataFrame, order: Order, ignore_blank: bool = False) -> DataFrame:
+    """All cells in row order as one row c1, c2, …; more than a sheet's row holds is an error."""
+    cells = to_column(df, order, ignore_blank)
+    n = cells.limit(WIDEST + 1).count()
+    if n > WIDEST:
+        raise ValueError(f"#NUM! a row holds {WIDEST} cells")
+    row = F.array_sort(F.collect_list(F.struct(*order, "_c", "value")))
+    return cells.select(row.alias("r")).select(*(F.get("r", F.lit(i))["value"].alias(f"c{i + 1}") for i in range(n)))
+
+
 def wrap_rows(df: DataFrame, column: str, width: int, order: Order) -> DataFrame:
     """A vector as rows of ``width`` values: (_row, c1, …)."""
     placed = positions(df.select(*dict.fromkeys([*order, column])), order, "_p")

@@ -6,7 +6,7 @@ A formula is compiled against a catalogue of tables and, for a filled-down formu
 - an aggregate of ranges is an aggregate Column in a grouping, and a scalar subquery anywhere else, so a plan
   may mix rows with totals of any table; values of the current row inside it correlate the subquery, which
   Catalyst turns into one aggregation and one join (a SUMIFS per row is never a loop);
-- lookups are first-match subqueries, or as-of joins for sorted keys;
+- lookups are first-match subqueries, or as-of joins for sorted keys of each row;
 - LET is substitution, LAMBDA a higher-order function's body.
 
 Values carry an error lane: a Column that holds an error code or NULL. Errors of arguments come first, in order.
@@ -14,11 +14,12 @@ Values carry an error lane: a Column that holds an error code or NULL. Errors of
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +27,7 @@ from quadrille.functions import FUNCTIONS
 from quadrille.functions.dates import from_serial, moment_of, networkdays, or_zero, to_serial, workday
 from quadrille.functions.registry import finite
 from quadrille.functions.text import display, text_format
+from quadrille.operators.ordinals import numbered, running_total
 from quadrille.plans import formula as fx
 from quadrille.plans.criteria import correlated, criterion, same_text
 
@@ -59,6 +61,7 @@ class Table:
     order: tuple[str, ...] = ()
     letters: bool = False
     totals: dict[str, str] = field(default_factory=dict)
+    formulas: dict[str | tuple[int, str], str] = field(default_factory=dict)  # text by column, or by row and column
     whole: DataFrame | None = None  # where df is a part that refers to rows outside and so has no schema yet
 
     @property
@@ -160,6 +163,7 @@ class Context:
     pivots: dict[str, tuple[DataFrame, object]] = field(default_factory=dict)  # cells and spec by name
     outer: set[str] = field(default_factory=set)  # columns of the row outside that a subquery on the same table uses
     scope: Table | None = None  # the table whose rows an aggregate's argument ranges over
+    near: dict[tuple, tuple[str, Column, DataFrame, bool]] = field(default_factory=dict)  # approximate lookups of each row, to be joined
 
     def table(self, name: str | None) -> Table:
         if name is None:
@@ -178,6 +182,7 @@ _SUBTOTAL = ("AVERAGE", "COUNT", "COUNTA", "MAX", "MIN", "PRODUCT", "STDEV.S", "
 _AGGREGATE = (*_SUBTOTAL, "MEDIAN", "MODE.SNGL", "LARGE", "SMALL", "PERCENTILE.INC", "QUARTILE.INC", "PERCENTILE.EXC", "QUARTILE.EXC")
 _CONDITIONAL = {"SUMIF": "SUM", "SUMIFS": "SUM", "COUNTIF": "COUNT", "COUNTIFS": "COUNT", "AVERAGEIF": "AVERAGE", "AVERAGEIFS": "AVERAGE", "MAXIFS": "MAX", "MINIFS": "MIN"}
 _DATABASE = {"DAVERAGE": "AVERAGE", "DCOUNT": "COUNT", "DCOUNTA": "COUNTA", "DMAX": "MAX", "DMIN": "MIN", "DPRODUCT": "PRODUCT", "DSTDEV": "STDEV.S", "DSTDEVP": "STDEV.P", "DSUM": "SUM", "DVAR": "VAR.S", "DVARP": "VAR.P"}
+_ORDER_STATISTICS = ("AVEDEV", "LARGE", "SMALL", "PERCENTILE.EXC", "QUARTILE.EXC", "TRIMMEAN")
 _TEXT_AS_ZERO = ("AVERAGEA", "MAXA", "MINA", "STDEVA", "STDEVPA", "VARA", "VARPA")
 
 
@@ -505,6 +510,10 @@ class Compiler:
         inline = grouped and self.ctx.current is not None and self.ctx.current.name == table.name
         self.ctx.scope = table if not inline else saved
         try:
+            if not inline and where is None and table.whole is None and name in _ORDER_STATISTICS:
+                of_order = self.order_statistic(name, args, table)
+                if of_order is not None:
+                    return of_order
             columns, errors = [], []
             letters = found.letters(sum(self.width(a) for a in args)) if found else "a" * 99
             order = table
@@ -520,6 +529,8 @@ class Compiler:
                             errors.append(F.min(v.err if condition is None else F.when(condition, v.err)))
                     else:
                         columns.append(coerced(v, letter) if letter != "a" or v.type != "array" else v.col)
+                        if isinstance(a, fx.Array):
+                            columns[-1].__dict__["_known"] = sum(map(len, a.rows))
             out = self.counted(name, columns) if name in ("COUNTA", "COUNTBLANK") else found.build(*columns)
         finally:
             self.ctx.scope, self.ctx.grouped = saved, grouped
@@ -529,7 +540,46 @@ class Compiler:
         if inline:
             return Value(out, returns, F.coalesce(err, own))
         one = self.rows_of(table).select(F.struct(out.alias("v"), F.coalesce(err, own).alias("e")).alias("b")).scalar()
-        return Value(one["v"], returns, one["e"])
+        # What takes an array apart does so inside the subquery.
+        return Value(one["v"], returns, one["e"], frame=self.rows_of(table).select(out.alias("v")) if returns == "array" else None)
+
+    def order_statistic(self, name: str, args: tuple[fx.Node, ...], table: Table) -> Value | None:
+        """A statistic of order over a whole column without gathering it; None where the general form is needed.
+
+        LARGE and SMALL are a top-k, AVEDEV two aggregations; the rest find their places by running counts of the
+        distinct numbers, so a number that fills a third of the rows is one row of them.
+        """
+        x, *rest = self.elements(args[0])
+        more = [self.value(a) for a in args[1:]]
+        if rest or x.err is not None or not all(v.literal and isinstance(v.py, (int, float)) for v in more):
+            return None
+        rows = self.rows_of(table).select(self.lane_of(name, x).alias("x")).where("x is not null")
+        if name == "AVEDEV":
+            out = rows.select(F.avg(F.abs(F.col("x") - rows.select(F.avg("x")).scalar())).alias("v")).scalar()
+            return Value(out, "num", F.when(out.isNull(), F.lit("#NUM!")))
+        k = float(more[0].py)
+        if name in ("LARGE", "SMALL"):
+            n = math.ceil(k)
+            if n < 1:
+                return None
+            chosen = rows.orderBy(F.desc("x") if name == "LARGE" else F.asc("x")).limit(n)
+            out = chosen.select(F.when(F.count("x") == n, (F.min if name == "LARGE" else F.max)("x")).alias("v")).scalar()
+            return Value(out, "num", F.when(out.isNull(), F.lit("#NUM!")))
+        placed = running_total(rows.groupBy("x").agg(F.count(F.lit(1)).alias("n")), "n", "x", "before")
+        n, upto = placed.select(F.sum("n")).scalar(), F.col("before") + F.col("n")
+        if name == "TRIMMEAN":
+            off = F.floor(n * k / 2)
+            kept = F.greatest(F.least(upto, n - off) - F.greatest(F.col("before"), off), F.lit(0))
+            out = F.when(F.lit(0 <= k < 1), F.try_divide(F.sum(F.col("x") * kept), F.sum(kept)))
+        else:
+            if name == "QUARTILE.EXC":
+                k = math.floor(k) / 4 if 1 <= math.floor(k) <= 3 else 0.0
+            at = F.lit(k) * (n + 1)
+            low = F.floor(at)
+            a, b = (F.max(F.when((F.col("before") < i) & (i <= upto), F.col("x"))) for i in (low, low + 1))
+            out = F.when((at >= 1) & (at <= n), F.when(at == low, a).otherwise(a + (at - low) * (b - a)))
+        out = placed.select(out.alias("v")).scalar()
+        return Value(out, "num", F.when(out.isNull(), F.lit("#NUM!")))
 
     def width(self, node: fx.Node) -> int:
         return len(self.range_of(node)[1]) if self.is_range(node) else 1
@@ -681,20 +731,21 @@ class Compiler:
         x = f"`{columns[0]}`"
         target = self.range_of(result)[1][0] if result is not None else columns[at - 1] if at is not None else None
         want = self.value(key)
-        outer = want.col
-        saved, self.ctx.scope = self.ctx.scope, table
-        try:
-            outer = want.col if want.literal else self.value(key).col
-        finally:
-            self.ctx.scope = saved
+        outer, per_row = want.col, not want.literal and self.ctx.current is not None
+        if mode == "=" and not want.literal:
+            saved, self.ctx.scope = self.ctx.scope, table
+            try:
+                outer = self.value(key).col
+            finally:
+                self.ctx.scope = saved
         df = self.rows_of(table) if rows is None else self.rows_of(table).where(rows)
         order = F.struct(*(F.col(f"`{c}`") for c in table.order)) if table.order else F.lit(0)
         if target is None:
             if not table.order:
                 raise CompileError(f"MATCH needs an order for {table.name}")
-            from pyspark.sql.window import Window
-
-            df = df.withColumn("_pos", F.row_number().over(Window.orderBy(*(F.col(f"`{c}`") for c in table.order))).cast("double"))
+            if not per_row:
+                return self.position(df, F.col(x), table.dtype(columns[0]), want, order, mode, last)
+            df = numbered(df, table.order, "_pos", start=1).withColumn("_pos", F.col("_pos").cast("double"))
             target = "_pos"
         dtype = "num" if target == "_pos" else table.dtype(target)
         value = F.col(f"`{target}`")
@@ -705,13 +756,43 @@ class Compiler:
             one = df.where(same).select(pick.alias("b")).scalar()
             return Value(one["v"], dtype, F.when(one["hit"].isNull(), F.lit("#N/A")))
         # Of sorted keys the nearest; equal keys give their last row below, their first above.
-        if not want.literal and self.ctx.current is not None and want.py is None:
-            raise CompileError("#N/A approximate lookups per row: use operators.joins.asof_lookup")
+        if per_row:
+            return self.nearest((key, keys, result, mode, at), want, df, F.col(x), table.dtype(columns[0]), value, dtype, order, mode)
         near = F.col(x) <= want.col if mode == "<=" else F.col(x) >= want.col
         key_order = F.struct(F.col(x).alias("k"), order.alias("o"))
         one = df.where(near).select((F.max_by if mode == "<=" else F.min_by)(F.struct(value.alias("v"), F.lit(1).alias("hit")), key_order).alias("b")).scalar()
         return Value(one["v"], dtype, F.when(one["hit"].isNull(), F.lit("#N/A")))
 
+    @staticmethod
+    def position(df: DataFrame, x: Column, kind: str, want: Value, order: Column, mode: str, last: bool) -> Value:
+        """MATCH of one key: the hit's place in the order, then the rows up to it counted, so no task sees all rows."""
+        if mode == "=":
+            same = x == want.col if kind != "text" or want.type == "text" else F.lit(False)
+            hit = df.where(same).select((F.max if last else F.min)(order).alias("b")).scalar()
+        else:
+            near = x <= want.col if mode == "<=" else x >= want.col
+            hit = df.where(near).select((F.max_by if mode == "<=" else F.min_by)(order, F.struct(x.alias("k"), order.alias("o"))).alias("b")).scalar()
+        place = df.where(order <= hit).select(F.count(F.lit(1)).cast("double").alias("v")).scalar()
+        return Value(F.when(hit.isNotNull(), place), "num", F.when(hit.isNull(), F.lit("#N/A")))
+
+    def nearest(self, asked: tuple, want: Value, df: DataFrame, x: Column, kind: str, value: Column, dtype: str, order: Column, mode: str) -> Value:
+        """An approximate lookup with a key of each row: a column that Workbook.with_columns joins before its projection.
+
+        Of equal keys the right side keeps one row first: the last below, the first above. Text is only near text.
+        """
+        if self.ctx.scope is not None or self.ctx.grouped:
+            raise CompileError("approximate lookups by row inside an aggregate: define them as a column first")
+        if (want.type in ("text", MIXED)) != (kind in ("text", MIXED)):
+            return Value(F.lit(None).cast("double"), "num", _first_error([want], F.lit("#N/A")))
+        if kind not in ("text", MIXED) and not kind == want.type == "date":
+            x, want = as_number(Value(x, kind)), replace(want, col=as_number(want))
+        if asked not in self.ctx.near:
+            pick = F.max_by if mode == "<=" else F.min_by
+            one = df.where(x.isNotNull()).groupBy(x.alias("_key")).agg(pick(F.struct(value.alias("v")), order).alias("_hit"))
+            self.ctx.near[asked] = f"_near{len(self.ctx.near)}", want.col, one, mode == "<="
+        hit = F.col(self.ctx.near[asked][0])
+        return Value(hit["v"], dtype, _first_error([want], F.when(hit.isNull(), F.lit("#N/A"))))
+
 
 def bound_once(build: Callable[..., Column], columns: list[Column]) -> Column:
     """build(*columns), with each argument computed once: date functions use theirs many times over."""
@@ -1244,3 +1325,63 @@ def _hlookup(c: Compiler, key: fx.Node, data: fx.Node, index: fx.Node, near: fx.
     heads = [F.lit(x) if not table.letters else F.get(table.df.select(c.ordered(table, F.col(f"`{x}`")).alias("v")).scalar(), F.lit(0)).cast("string") for x in columns]
     pairs = [(h == want, Value(v, table.dtype(x))) for h, v, x in zip(heads, values, columns, strict=True)]
     return choose(pairs, Value(F.lit(None).cast("double"), "num", F.lit("#N/A"), True))
+
+
+def _regression(name: str) -> None:
+    @form(name)
+    def build(c: Compiler, ys: fx.Node, xs: fx.Node = fx.Literal(None), new: fx.Node = fx.Literal(None), *_: fx.Node) -> Value:
+        """Left-out xs are the numbers' places 1, 2, …; a left-out new x is the first x."""
+        left_out, predicts = fx.Literal(None), name in ("TREND", "GROWTH")
+        if xs != left_out:
+            if not predicts:
+                return c.aggregate(name, (ys, xs))
+            if new != left_out:
+                return c.aggregate(name, (ys, xs, new))
+            table, columns, rows = c.range_of(c.resolved(xs))
+            if not table.order:
+                raise CompileError(f"{name} without new x needs an order for {table.name}")
+            x = c.lane_of(name, Value(F.col(f"`{columns[0]}`"), table.dtype(columns[0])))
+            first = F.min_by(x if rows is None else F.when(rows, x), F.when(x.isNotNull() if rows is None else rows & x.isNotNull(), F.struct(*(F.col(f"`{o}`") for o in table.order))))
+            inline = c.ctx.grouped and c.ctx.current is not None and c.ctx.current.name == table.name
+            start = Value(first if inline else c.rows_of(table).select(first.alias("v")).scalar(), "num")
+            return c.bound(["_first_x"], [start], fx.Call(name, (ys, xs, fx.Name("_first_x"))))
+        if c.ctx.grouped:
+            raise CompileError(f"{name} in a grouping takes its xs")
+        if c.is_range(ys):
+            table, columns, rows = c.range_of(ys)
+            if not table.order:
+                raise CompileError(f"{name} without xs needs an order for {table.name}")
+            y = c.lane_of(name, Value(F.col(f"`{columns[0]}`"), table.dtype(columns[0])))
+            df = c.rows_of(table) if rows is None else c.rows_of(table).where(rows)
+            df = df.select(F.struct(*(F.col(f"`{o}`") for o in table.order)).alias("_o"), y.alias("_y"))
+        else:
+            df = SparkSession.active().range(1).select(F.posexplode(c.array_of(ys).col).alias("_o", "_y"))
+        placed = numbered(df.where("_y is not null"), ["_o"], "_x", start=1).select("_y", F.col("_x").cast("double").alias("_x"))
+        places = Context({**c.ctx.tables, "_placed": Table("_placed", placed)}, c.ctx.current, names=c.ctx.names, pivots=c.ctx.pivots, outer=c.ctx.outer, near=c.ctx.near)
+        y, x = (fx.Structured("_placed", (n,)) for n in ("_y", "_x"))
+        return Compiler(places).aggregate(name, (y, x, *([fx.Literal(1.0) if new == left_out else new] if predicts else [])))
+
+
+for _name in ("LINEST", "LOGEST", "TREND", "GROWTH"):
+    _regression(_name)
+
+
+def formula_of(c: Compiler, node: fx.Node) -> str | None:
+    """The text of the formula that a reference's first cell or column was defined by."""
+    table, columns, _ = c.range_of(node)
+    top = node.top if isinstance(node, fx.CellRange) else None
+    return table.formulas.get((top, columns[0])) or table.formulas.get(columns[0])
+
+
+@form("FORMULATEXT")
+def _formulatext(c: Compiler, node: fx.Node) -> Value:
+    text = formula_of(c, c.resolved(node))
+    if text is None:
+        return Value(F.lit(None).cast("string"), "text", F.lit("#N/A"))
+    return Value(F.lit(text), "text", literal=True, py=text)
+
+
+@form("ISFORMULA")
+def _isformula(c: Compiler, node: fx.Node) -> Value:
+    found = formula_of(c, c.resolved(node)) is not None
+    return Value(F.lit(found), "bool", literal=True, py=found)

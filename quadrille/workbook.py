@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.operators import joins
 from quadrille.operators import relational as rel
 from quadrille.operators.pivot import PivotSpec, grid, pivot
 from quadrille.plans import formula as fx
@@ -132,8 +133,12 @@ class Workbook:
             # Columns of one step are added in one projection.
             added = [c for n in ready for c in self._lanes(n, compiler.value(trees[n]))]
             gone = {n.lower() for n in ready}
+            kept = [c for c in df.columns if c.lower() not in gone]
             outer = {f"_outer_{c}": F.col(f"`{c}`") for c in compiler.ctx.outer}
-            df = (df.withColumns(outer) if outer else df).select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in gone), *added)
+            df = df.withColumns(outer) if outer else df
+            for near in compiler.ctx.near.values():
+                df = joins.with_nearest(df, *near)
+            df = df.select(*(F.col(f"`{c}`") for c in kept), *added)
             for n in ready:
                 del left[n]
         return df
@@ -141,7 +146,8 @@ class Workbook:
     def define(self, table: str, formulas: dict[str, str]) -> None:
         """Like with_columns, and keep the columns."""
         t = self.table(table)
-        self.tables[table.lower()] = replace(t, df=self.with_columns(table, formulas))
+        texts = {n: f if f.startswith("=") else f"={f}" for n, f in formulas.items()}
+        self.tables[table.lower()] = replace(t, df=self.with_columns(table, formulas), formulas=t.formulas | texts)
 
     def group(self, table: str, by: list[str], formulas: dict[str, str]) -> DataFrame:
         """One row a group, formulas being aggregates of the table's columns."""
@@ -330,7 +336,11 @@ def _tocol(wb: Workbook, table: str | None, data: fx.Node, ignore: fx.Node = fx.
     return rel.to_column(df, order, _number(wb, ignore, 0) in (1.0, 3.0)), [*order, "_c"], None
 
 
-_ARRAYS["TOROW"] = _tocol
+@_array("TOROW")
+def _torow(wb: Workbook, table: str | None, data: fx.Node, ignore: fx.Node = fx.Literal(0.0), *_: fx.Node):
+    """All cells as one row c1, c2, …; like a sheet's row it holds 16,384 cells and no more."""
+    df, order, _ = wb._frame(data, table)
+    return rel.to_row(df, order, _number(wb, ignore, 0) in (1.0, 3.0)), [], None
 
 
 @_array("WRAPROWS")

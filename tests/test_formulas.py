@@ -129,3 +129,59 @@ def test_edits(spark):
     wb.total("T", "y", "=SUM(T[y])")
     assert wb.value("=T[[#Totals],[y]]") == 4 and wb.value("=T[[#Headers],[y]]") == "y"
     assert [r["action"] for r in wb.changes().orderBy("seq").collect()] == ["add", "insert_rows", "delete_rows", "rename_column", "rename_table"]
+
+
+def test_lookups_near_of_rows(spark):
+    bands = [(0.0, "a"), (5.0, "b"), (5.0, "c"), (12.0, "d")]
+    keys = [-4.0, 0.0, 4.5, 5.0, 5.0, 11.0, 12.0, 30.0, None]
+    wb = Workbook(spark, errors="lane").sheet("T", [["v", "s"], *([k, "x"] for k in keys)], header=True)
+    wb.sheet("Bands", [["lo", "name"], *map(list, bands)], header=True).sheet("None", [["lo", "name"]], header=True)
+    out = wb.with_columns("T", {
+        "below": "VLOOKUP([@v],Bands,2)", "above": 'XLOOKUP([@v],Bands[lo],Bands[name],"none",1)', "place": "MATCH([@v],Bands[lo],1)", "exact": "MATCH([@v],Bands[lo],0)",
+        "less": 'IFERROR(LOOKUP([@v]-3,Bands[lo],Bands[name]),"low")', "nested": "VLOOKUP(VLOOKUP([@v],Bands,1),Bands,2)", "kind": "VLOOKUP([@s],Bands,2)",
+    })
+    rows = out.orderBy("_r").collect()
+    assert [r["v"] for r in rows] == keys
+    for r in rows:
+        v = r["v"]
+        names = lambda test: [n for lo, n in bands if v is not None and test(lo)]
+        below, above, less = names(lambda lo: lo <= v), names(lambda lo: lo >= v), names(lambda lo: lo <= v - 3)
+        assert (r["below"], r["below__err"]) == ((below[-1], None) if below else (None, "#N/A"))
+        assert r["above"] == (above[0] if above else "none") and r["nested"] == r["below"]
+        assert r["place"] == (len(below) or None) and r["exact"] == next((i + 1.0 for i, (lo, _) in enumerate(bands) if lo == v), None)
+        assert r["kind__err"] == "#N/A"
+        if v is not None:
+            assert r["less"] == (less[-1] if less else "low")
+    with pytest.raises(CompileError):
+        wb.value("=SUM(MAP(T[v],LAMBDA(v,v)),NOSUCH(1))")
+
+
+def test_order_statistics_of_columns(spark):
+    v = [5.0, 1.0, 5.0, 5.0, 9.0, 2.0, 7.0, None, 5.0]
+    s = sorted(x for x in v if x is not None)
+    wb = Workbook(spark, errors="lane").sheet("T", [["v", "w"], *([x, None] for x in v)], header=True)
+    mean = sum(s) / len(s)
+    want = {
+        "=LARGE(T[v],2)": 7, "=SMALL(T[v],2)": 2, "=LARGE(T[v],9)": "#NUM!", "=SMALL(T[v],0)": "#NUM!", "=AVEDEV(T[v])": sum(abs(x - mean) for x in s) / len(s), "=PERCENTILE.EXC(T[v],0.2)": s[0] + 0.8 * (s[1] - s[0]),
+        "=PERCENTILE.EXC(T[v],0.05)": "#NUM!", "=QUARTILE.EXC(T[v],2)": 5, "=QUARTILE.EXC(T[v],4)": "#NUM!", "=TRIMMEAN(T[v],0.25)": sum(s[1:-1]) / 6, "=TRIMMEAN(T[v],1)": "#NUM!", "=SUM(FREQUENCY(T[v],{5,2}))": 8, "=INDEX(FREQUENCY(T[v],{5,2}),2)": 4,
+        "=LARGE(T[w],1)": "#NUM!", "=TRIMMEAN(T[w],0.1)": "#NUM!", "=PERCENTILE.EXC(T[w],0.5)": "#NUM!",
+    }
+    for f, w in want.items():
+        got = wb.value(f)
+        assert got == w or (not isinstance(w, str) and got == pytest.approx(w)), f
+
+
+def test_regression_defaults(spark):
+    wb = Workbook(spark, errors="lane").sheet("T", [["y", "x"], [3, 10], [5, 20], [7, 30]], header=True)
+    want = {"=TREND(T[y])": 3, "=TREND(T[y],,5)": 11, "=TREND(T[y],T[x])": 3, "=TREND(T[y],T[x],40)": 9, "=INDEX(LINEST(T[y]),2)": 1, "=GROWTH({2,4,8})": 2, "=GROWTH({2,4,8},,5)": 32, "=INDEX(LOGEST({2,4,8}),1)": 2, "=INDEX(LINEST(T[y],T[x]),1)": 0.2}
+    for f, w in want.items():
+        assert wb.value(f) == pytest.approx(w), f
+
+
+def test_formula_texts_and_rows(spark):
+    wb = Workbook(spark, errors="lane").sheet("T", [["a", "b"], [1, 2], [None, 4]], header=True)
+    wb.define("T", {"c": "[@a]*2"})
+    assert [wb.value(f) for f in ("=FORMULATEXT(T[c])", "=ISFORMULA(T[c])", "=ISFORMULA(T[a])", "=FORMULATEXT(T[a])")] == ["=[@a]*2", True, False, "#N/A"]
+    wb.sheet("G", [[1, 2], [3, 4]])
+    assert [tuple(r) for r in wb.evaluate("=TOROW(G!A1:B2)").collect()] == [(1, 2, 3, 4)]
+    assert [tuple(r) for r in wb.evaluate("=TOROW(T[[a]:[c]],1)").collect()] == [(1, 2, 2, 4, 0)]

@@ -154,6 +154,25 @@ def coerced(v: Value, letter: str) -> Column:
     return out
 
 
+@dataclass
+class Near:
+    """An approximate lookup by a key of each row; lookups of one key in one column share it, and so one join."""
+
+    name: str
+    key: Column
+    rows: DataFrame
+    x: Column
+    order: Column
+    below: bool
+    values: list[Column] = field(default_factory=list)
+
+    def right(self) -> DataFrame:
+        """One row a key: of equal keys the last below, the first above."""
+        pick = F.max_by if self.below else F.min_by
+        hit = F.struct(*(v.alias(f"v{i}") for i, v in enumerate(self.values)))
+        return self.rows.where(self.x.isNotNull()).groupBy(self.x.alias("_key")).agg(pick(hit, self.order).alias("_hit"))
+
+
 @dataclass
 class Context:
     tables: dict[str, Table]
@@ -163,7 +182,7 @@ class Context:
     pivots: dict[str, tuple[DataFrame, object]] = field(default_factory=dict)  # cells and spec by name
     outer: set[str] = field(default_factory=set)  # columns of the row outside that a subquery on the same table uses
     scope: Table | None = None  # the table whose rows an aggregate's argument ranges over
-    near: dict[tuple, tuple[str, Column, DataFrame, bool]] = field(default_factory=dict)  # approximate lookups of each row, to be joined
+    near: dict[tuple, Near] = field(default_factory=dict)  # approximate lookups of each row, to be joined
 
     def table(self, name: str | None) -> Table:
         if name is None:
@@ -757,7 +776,7 @@ class Compiler:
             return Value(one["v"], dtype, F.when(one["hit"].isNull(), F.lit("#N/A")))
         # Of sorted keys the nearest; equal keys give their last row below, their first above.
         if per_row:
-            return self.nearest((key, keys, result, mode, at), want, df, F.col(x), table.dtype(columns[0]), value, dtype, order, mode)
+            return self.nearest((key, keys, mode, target == "_pos"), want, df, F.col(x), table.dtype(columns[0]), value, dtype, order, mode)
         near = F.col(x) <= want.col if mode == "<=" else F.col(x) >= want.col
         key_order = F.struct(F.col(x).alias("k"), order.alias("o"))
         one = df.where(near).select((F.max_by if mode == "<=" else F.min_by)(F.struct(value.alias("v"), F.lit(1).alias("hit")), key_order).alias("b")).scalar()
@@ -778,7 +797,7 @@ class Compiler:
     def nearest(self, asked: tuple, want: Value, df: DataFrame, x: Column, kind: str, value: Column, dtype: str, order: Column, mode: str) -> Value:
         """An approximate lookup with a key of each row: a column that Workbook.with_columns joins before its projection.
 
-        Of equal keys the right side keeps one row first: the last below, the first above. Text is only near text.
+        Text is only near text.
         """
         if self.ctx.scope is not None or self.ctx.grouped:
             raise CompileError("approximate lookups by row inside an aggregate: define them as a column first")
@@ -786,12 +805,10 @@ class Compiler:
             return Value(F.lit(None).cast("double"), "num", _first_error([want], F.lit("#N/A")))
         if kind not in ("text", MIXED) and not kind == want.type == "date":
             x, want = as_number(Value(x, kind)), replace(want, col=as_number(want))
-        if asked not in self.ctx.near:
-            pick = F.max_by if mode == "<=" else F.min_by
-            one = df.where(x.isNotNull()).groupBy(x.alias("_key")).agg(pick(F.struct(value.alias("v")), order).alias("_hit"))
-            self.ctx.near[asked] = f"_near{len(self.ctx.near)}", want.col, one, mode == "<="
-        hit = F.col(self.ctx.near[asked][0])
-        return Value(hit["v"], dtype, _first_error([want], F.when(hit.isNull(), F.lit("#N/A"))))
+        near = self.ctx.near.setdefault(asked, Near(f"_near{len(self.ctx.near)}", want.col, df, x, order, mode == "<="))
+        near.values.append(value)
+        hit = F.col(near.name)
+        return Value(hit[f"v{len(near.values) - 1}"], dtype, _first_error([want], F.when(hit.isNull(), F.lit("#N/A"))))
 
 
 def bound_once(build: Callable[..., Column], columns: list[Column]) -> Column:

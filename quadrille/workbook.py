@@ -137,7 +137,7 @@ class Workbook:
             outer = {f"_outer_{c}": F.col(f"`{c}`") for c in compiler.ctx.outer}
             df = df.withColumns(outer) if outer else df
             for near in compiler.ctx.near.values():
-                df = joins.with_nearest(df, *near)
+                df = joins.with_nearest(df, near.name, near.key, near.right(), near.below)
             df = df.select(*(F.col(f"`{c}`") for c in kept), *added)
             for n in ready:
                 del left[n]

@@ -5,7 +5,7 @@ o range as an array in its order.
 Arguments after ``|`` may be left out; a final ``*`` repeats the one before. Kinds:
 
 - scalar: Columns to a Column, all in the JVM;
-- kernel: a Python function of plain values, run over Arrow batches;
+- kernel: a function of NumPy arrays (``vector``) or of plain values, run over Arrow batches;
 - agg: Columns of a range to an aggregate Column;
 - fold: a Python function of a range's numbers in order, over an aggregated array.
 
@@ -18,6 +18,7 @@ import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -146,6 +147,30 @@ def kernel(*names: str, sig: str = "n", returns: str = "num", err: str = "#NUM!"
     return wrap
 
 
+def vector(*names: str, sig: str = "n", returns: str = "num", err: str = "#NUM!"):
+    """A function of whole NumPy arrays, one for each argument: an Arrow batch at a time; NaN stands for its error."""
+
+    def wrap(function):
+        def run(first: pd.Series, *rest: pd.Series) -> pd.Series:
+            columns = [np.asarray(c.astype("float64"), dtype="float64") for c in (first, *rest)]
+            with np.errstate(all="ignore"):
+                out = np.array(np.broadcast_to(function(*columns), columns[0].shape), dtype="float64")
+            out[~np.isfinite(out) | np.isnan(columns).any(axis=0)] = np.nan
+            return pd.Series(out)
+
+        udf: list[Callable[..., Column]] = []
+
+        def build(*columns: Column) -> Column:
+            if not udf:
+                udf.append(F.pandas_udf(run, RESULT[returns]))
+            return udf[0](*columns)
+
+        _add(names, "kernel", sig, build, returns, err)
+        return function
+
+    return wrap
+
+
 def fold(*names: str, sig: str = "r", returns: str = "num", err: str = "#NUM!"):
     """A function of ordered lists of numbers, one for each range argument, and plain values."""
 

@@ -358,7 +358,7 @@ def forecast_ets_confint(target: float, values: list, timeline: list, level: flo
     if h <= 0 or not 0 < level < 1:
         raise FormulaError("#NUM!")
     sd = math.sqrt(sum(e * e for e in model.errors) / len(model.errors))
-    return norm_s_inv((1 + level) / 2) * sd * math.sqrt(1 + (h - 1) * model.weights[0] ** 2)
+    return float(norm_s_inv((1 + level) / 2)) * sd * math.sqrt(1 + (h - 1) * model.weights[0] ** 2)
 
 
 @fold("FORECAST.ETS.SEASONALITY", sig="rr|nn")

@@ -1,5 +1,7 @@
 """Formulas: values known from published examples, coercion, errors, lookups, lambdas."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +187,19 @@ def test_formula_texts_and_rows(spark):
     wb.sheet("G", [[1, 2], [3, 4]])
     assert [tuple(r) for r in wb.evaluate("=TOROW(G!A1:B2)").collect()] == [(1, 2, 3, 4)]
     assert [tuple(r) for r in wb.evaluate("=TOROW(T[[a]:[c]],1)").collect()] == [(1, 2, 2, 4, 0)]
+
+
+def test_vector_kernels_and_errors(spark):
+    """Rows out of a function's domain, blanks among them, leave the other rows of a batch alone; inverses return."""
+    rows = [[0.3, 4.0], [0.5, 1.0], [0.999, 30.0], [0.0, 2.0], [1.5, 3.0], [0.2, -1.0]]
+    wb = Workbook(spark, errors="lane").sheet("T", [["p", "k"], *rows], header=True)
+    out = wb.with_columns("T", {
+        "z": "NORM.S.DIST(NORM.S.INV([@p]),TRUE)", "t": "T.DIST(T.INV([@p],[@k]),[@k],TRUE)", "chi": "CHISQ.DIST(CHISQ.INV([@p],[@k]),[@k],TRUE)", "f": "F.DIST(F.INV([@p],[@k],7),[@k],7,TRUE)",
+        "beta": "BETA.DIST(BETA.INV([@p],[@k],2),[@k],2,TRUE)", "gamma": "GAMMA.DIST(GAMMA.INV([@p],[@k],3),[@k],3,TRUE)", "expon": "EXPON.DIST([@p],[@k],TRUE)", "weibull": "WEIBULL.DIST([@p],[@k],2,FALSE)",
+    }).orderBy("_r").collect()
+    for (p, k), r in zip(rows, out, strict=True):
+        for n in ("z", "t", "chi", "f", "beta", "gamma"):
+            good = 0 < p < 1 and (n == "z" or k > 0) or (p == 0 and k > 0 and n in ("chi", "f", "gamma"))
+            assert (r[n] == pytest.approx(p, abs=1e-12) and r[f"{n}__err"] is None) if good else (r[n], r[f"{n}__err"]) == (None, "#NUM!"), (n, p, k)
+        assert r["expon"] == (pytest.approx(1 - math.exp(-k * p)) if k > 0 else None)
+        assert r["weibull"] == (pytest.approx(k / 2 * (p / 2) ** (k - 1) * math.exp(-((p / 2) ** k))) if k > 0 else None)

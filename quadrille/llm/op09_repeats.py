@@ -4,11 +4,13 @@ A passage of ``length`` bytes is removed from a document when it also starts in
 One index of the whole corpus would need one machine to hold it, so the corpus is dealt by content:
 
 1. Documents are packed, and every window of ``length`` bytes is assigned its minimizer, the least of its
-   16-byte grams by hash. Equal windows have equal minimizers wherever they stand.
+   24-byte grams by hash. Equal windows have equal minimizers wherever they stand.
 2. Minimizers that only one document has cannot lie in a repeated window. Each pack sends its distinct
-   minimizer hashes by bucket, and gets back which of them others have too, and which are very frequent.
+   minimizer hashes by bucket with their numbers of distinct stretches, and gets back which of them others
+   have too, and which have more stretches than one index holds.
 3. Only stretches of windows whose minimizer is repeated go on, dealt by minimizer, each distinct stretch
-   once a pack. Very frequent minimizers are dealt by window instead, so no bucket grows with a hot passage.
+   once a pack. Those of the minimizers with too many are dealt by window instead, fifty bytes for each, so no
+   index grows with the corpus.
 4. In a bucket, a run-compressed Burrows-Wheeler transform of the distinct stretches is built: run heads,
    their LF images as samples, and the smallest document of each interval of suffixes that agree on
    ``length`` bytes. All stretches are streamed through it backwards, which gives for each window the
@@ -28,24 +30,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import CHUNK_BYTES, cut, mix64, row_chunks, text_bytes
+from quadrille.llm.common import _BASE, _BYTE_VALUE, _INVERSE, _powers, CHUNK_BYTES, cut, mix64, row_chunks, text_bytes
 
-GRAM = 16
+GRAM = 24
 PACK_BYTES = 1 << 21
 #: Text bytes that make one bucket of step 2 or 3, and bytes of one index.
 BUCKET_BYTES = 1 << 25
 INDEX_BYTES = 1 << 20
-#: A minimizer in more packs than this is dealt by window.
-HOT_PACKS = 512
+#: A minimizer with more distinct stretches than this, summed over the packs, is dealt by window: about one index.
+HOT_STRETCHES = 1 << 14
 _LAST_ID = np.iinfo(np.int64).max
+_SQUEEZE, _EXPAND = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _z(a: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+    return _SQUEEZE.compress(np.ascontiguousarray(a).tobytes())
 
 
 def _unz(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), kind)
+    return np.frombuffer(_EXPAND.decompress(b), kind)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +109,7 @@ def _stretches(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarr
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sizes = _unz(row["sizes"], np.int64)
-    return _unz(row["ids"], np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.frombuffer(zstandard.decompress(row["z"]), np.uint8)
+    return _unz(row["ids"], np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.frombuffer(_EXPAND.decompress(row["z"]), np.uint8)
 
 
 def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -130,17 +133,23 @@ def _send_hashes(length: int, buckets: int):
         for batch in batches:
             for row in batch.to_pylist():
                 ids, offs, buf = _opened(row)
-                head, _, h = _stretches(buf, offs, length)
+                head, n, h = _stretches(buf, offs, length)
                 doc = ids[np.searchsorted(offs, head, side="right") - 1]
                 values, place, bucket, bounds = _distinct(h, buckets)
                 low, high = np.full(len(values), _LAST_ID), np.full(len(values), -_LAST_ID)
                 np.minimum.at(low, place, doc)
                 np.maximum.at(high, place, doc)
                 several = low != high
+                weight = np.bincount(place, minlength=len(values))
+                more = np.flatnonzero(weight[place] > 1)
+                content = _content_hash(buf, head[more], n[more] + length - 1)
+                _, one = np.unique(mix64(content) + place[more].astype(np.uint64), return_index=True)
+                weight -= np.bincount(place[more], minlength=len(values)) - np.bincount(place[more[one]], minlength=len(values))
+                weight = np.minimum(weight, 255).astype(np.uint8)
                 cuts = list(zip(bounds[:-1], bounds[1:], strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[bounds[:-1]]), pa.array(np.full(len(cuts), row["g"])), pa.array([values[a:b].astype(np.uint32).tobytes() for a, b in cuts], pa.binary()), pa.array([np.packbits(several[a:b]).tobytes() for a, b in cuts], pa.binary())],
-                    ["bucket", "g", "hashes", "several"],
+                    [pa.array(bucket[bounds[:-1]]), pa.array(np.full(len(cuts), row["g"])), pa.array([values[a:b].astype(np.uint32).tobytes() for a, b in cuts], pa.binary()), pa.array([np.packbits(several[a:b]).tobytes() for a, b in cuts], pa.binary()), pa.array([_z(weight[a:b]) for a, b in cuts], pa.binary())],
+                    ["bucket", "g", "hashes", "several", "weights"],
                 )
 
     return send
@@ -153,7 +162,9 @@ def _answer_hashes(found: pa.Table) -> pa.Table:
     several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(found["several"].to_pylist(), sizes, strict=True)])
     _, inverse, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
     shared = np.bincount(inverse, weights=several, minlength=len(count))
-    many, hot = ((count > 1) | (shared > 0))[inverse], (count > HOT_PACKS)[inverse]
+    stretches = np.bincount(inverse, weights=np.concatenate([_unz(x, np.uint8) for x in found["weights"].to_pylist()]), minlength=len(count))
+    many, hot = ((count > 1) | (shared > 0))[inverse], (stretches > HOT_STRETCHES)[inverse]
+    hot &= many
     at = np.concatenate([[0], np.cumsum(sizes)])
     cuts = list(zip(at[:-1], at[1:], strict=True))
     return pa.table({"bucket": found["bucket"], "g": found["g"], "many": pa.array([np.packbits(many[a:b]).tobytes() for a, b in cuts], pa.binary()), "hot": pa.array([np.packbits(hot[a:b]).tobytes() for a, b in cuts], pa.binary())})
@@ -165,12 +176,22 @@ def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (end - size), size) + np.arange(end[-1] if len(end) else 0)
 
 
-def _content_hash(text: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each of the joined strings of the given sizes, all of one byte at least."""
-    end = np.cumsum(size)
-    place = np.arange(len(text)) - np.repeat(end - size, size)
-    value = mix64((text.astype(np.uint64) + np.uint64(1)) + (place.astype(np.uint64) << np.uint64(9)))
-    return mix64(np.add.reduceat(value, end - size) + size.astype(np.uint64)) if len(size) else np.zeros(0, np.uint64)
+def _content_hash(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each of the strings of the given begins and sizes (under 2 * length bytes), from sums up to each byte."""
+    out = np.empty(len(begin), np.uint64)
+    order = np.argsort(begin, kind="stable")
+    begin, size = begin[order], size[order]
+    reach, lo = int(size.max(initial=0)), 0
+    while lo < len(begin):
+        base = int(begin[lo])
+        hi = int(np.searchsorted(begin, base + CHUNK_BYTES // 2))
+        part = text[base : base + CHUNK_BYTES // 2 + reach]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE_VALUE[part] * _powers(_BASE, len(part)), out=total[1:])
+        a, n = begin[lo:hi] - base, size[lo:hi]
+        out[order[lo:hi]] = mix64((total[a + n] - total[a]) * _powers(_INVERSE, len(part) + 1)[a] + n.astype(np.uint64))
+        lo = hi
+    return out
 
 
 def _send_stretches(length: int, buckets: int):
@@ -195,7 +216,7 @@ def _send_stretches(length: int, buckets: int):
                 if not len(head):
                     continue
                 alone, size = np.arange(len(head)) >= plain.sum(), n + length - 1
-                content = np.concatenate([_content_hash(buf[_ragged(head[lo:hi], size[lo:hi])], size[lo:hi]) for lo, hi in row_chunks(np.concatenate([[0], np.cumsum(size)]))])
+                content = _content_hash(buf, head, size)
                 h = np.where(alone, content, h)
                 _, one, inverse = np.unique(content, return_index=True, return_inverse=True)
                 at = _bucket_of(h[one], buckets)
@@ -206,12 +227,14 @@ def _send_stretches(length: int, buckets: int):
                 places = np.argsort(rank[inverse], kind="stable")
                 owner = rank[inverse][places]
                 doc = ids[np.searchsorted(offs, head, side="right") - 1][places]
-                for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])), strict=True):
+                cuts, columns = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]]), []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     lo, hi = np.searchsorted(owner, [a, b])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([at[a]]), pa.array([row["g"]]), *(pa.array([_z(x)], pa.binary()) for x in (h[one[a:b]].astype(np.uint32), size[one[a:b]].astype(np.uint32), buf[_ragged(head[one[a:b]], size[one[a:b]])], (owner[lo:hi] - a).astype(np.uint32), head[places[lo:hi]], doc[lo:hi]))],
-                        ["bucket", "g", "keys", "sizes", "text", "owner", "place", "doc"],
-                    )
+                    columns.append([_z(x) for x in (h[one[a:b]].astype(np.uint32), size[one[a:b]].astype(np.uint32), buf[_ragged(head[one[a:b]], size[one[a:b]])], (owner[lo:hi] - a).astype(np.uint32), head[places[lo:hi]], doc[lo:hi])])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at[cuts[:-1]]), pa.array(np.full(len(columns), row["g"])), *(pa.array(x, pa.binary()) for x in zip(*columns, strict=True))],
+                    ["bucket", "g", "keys", "sizes", "text", "owner", "place", "doc"],
+                )
 
     return send
 
@@ -307,7 +330,7 @@ def _mark(length: int):
         size = np.concatenate(sizes)
         text = np.concatenate([_unz(x["text"], np.uint8) for x in rows])
         end = np.cumsum(size)
-        content = np.concatenate([_content_hash(text[end[lo] - size[lo] : end[hi - 1]], size[lo:hi]) for lo, hi in row_chunks(np.concatenate([[0], end]))])
+        content = _content_hash(text, end - size, size)
         _, one, inverse = np.unique(content, return_index=True, return_inverse=True)
         base = np.concatenate([[0], np.cumsum(counts)])
         owners = [_unz(x["owner"], np.uint32).astype(np.int64) + b for x, b in zip(rows, base, strict=False)]
@@ -379,7 +402,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = packs.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(parts, -(-total // BUCKET_BYTES))
     flags = (
-        packs.mapInArrow(_send_hashes(length, buckets), "bucket bigint, g bigint, hashes binary, several binary")
+        packs.mapInArrow(_send_hashes(length, buckets), "bucket bigint, g bigint, hashes binary, several binary, weights binary")
         .groupBy("bucket")
         .applyInArrow(_answer_hashes, "bucket bigint, g bigint, many binary, hot binary")
         .groupBy("g")

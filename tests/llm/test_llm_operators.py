@@ -300,6 +300,39 @@ def test_repeats_hot(docs, rows, monkeypatch):
     assert sorted(map(tuple, remove_repeats(docs).drop("kept").collect())) == before
 
 
+def test_repeats_frequent():
+    """What is in many packs but the same in each goes on as one stretch a pack; only what differs too often goes by window."""
+    import pyarrow as pa
+
+    import quadrille.llm.op09_repeats as op
+
+    n = 600
+    for weight, hot in ((1, False), (200, True)):
+        found = pa.table({"bucket": [0] * n, "g": list(range(n)), "hashes": [np.array([7], np.uint32).tobytes()] * n, "several": [b"\0"] * n, "weights": [op._z(np.full(1, weight, np.uint8))] * n})
+        out = op._answer_hashes(found)
+        assert {np.unpackbits(np.frombuffer(x, np.uint8), count=1)[0] for x in out["hot"].to_pylist()} == {int(hot)}
+        assert {np.unpackbits(np.frombuffer(x, np.uint8), count=1)[0] for x in out["many"].to_pylist()} == {1}
+
+
+def test_repeats_pack_sends_one_batch():
+    """A pack's rows for all buckets travel together, and a minimizer's different stretches are counted."""
+    import pyarrow as pa
+
+    import quadrille.llm.op09_repeats as op
+
+    r = random.Random(1)
+    passage = "".join(r.choice("abcdefghij ") for _ in range(80))
+    texts = [passage] * 5 + ["".join(r.choice("abcdefghij ") for _ in range(3000)) for _ in range(9)]
+    raw = "".join(texts).encode()
+    row = {"g": 3, "ids": op._z(np.arange(len(texts))), "nulls": op._z(np.zeros(len(texts), bool)), "sizes": op._z(np.array([len(x) for x in texts])), "z": op._SQUEEZE.compress(raw), "bytes": len(raw), "flags": []}
+    pack = pa.RecordBatch.from_pylist([row])
+    (sent,) = op._send_hashes(50, 7)(iter([pack]))
+    weights = np.concatenate([op._unz(x, np.uint8) for x in sent["weights"].to_pylist()])
+    assert sent.num_rows == 7 and set(weights.tolist()) == {1}
+    flags = [{"bucket": b, "many": m, "hot": bytes(len(m))} for b, m in zip(sent["bucket"].to_pylist(), (np.packbits(np.ones(len(h) // 4, bool)).tobytes() for h in sent["hashes"].to_pylist()))]
+    assert len(list(op._send_stretches(50, 7)(iter([pa.RecordBatch.from_pylist([{**row, "flags": flags}])])))) == 1
+
+
 def test_run_length_index():
     r = np.random.default_rng(0)
     for length in (32, 50):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.llm.common import cut, lean
+from quadrille.llm.common import cut, cut_small, lean
 from quadrille.llm.textstats import FEATURES, statistics
 
 SHARE = 0.75
@@ -250,7 +250,7 @@ def _estimates(rows: DataFrame, turn: int, turns: int, steps: int) -> DataFrame:
         at = np.clip(x[mine] / RANGE * SLOTS, 0, SLOTS - 1).astype(np.int64) + np.arange(_P) * SLOTS
         sums.add(names, 0, np.repeat(code[mine], _P), at.reshape(-1), np.ones((at.size, 1)))
 
-    first = cut(_passed(rows, 1, slots).groupBy("grp").applyInPandas(_quarters, _MODEL))
+    first = cut_small(_passed(rows, 1, slots).groupBy("grp").applyInPandas(_quarters, _MODEL))
     quarters = spark.sparkContext.broadcast({r["grp"]: (np.array(r["mean"])[None], np.sqrt(np.diag(np.array(r["cov"]).reshape(_P, _P)))[None]) for r in first.collect()})
 
     def starts(sums: _Sums, names: list[str], code: np.ndarray, x: np.ndarray) -> None:
@@ -264,7 +264,7 @@ def _estimates(rows: DataFrame, turn: int, turns: int, steps: int) -> DataFrame:
         for start, values in enumerate((same, _moments(np.tanh((x[at] - middle) / scale)), _moments(x[at]))):
             sums.add(some, start, own, zero, values)
 
-    model = cut(_passed(rows, _WIDTH, starts).groupBy("grp").applyInPandas(_starts, _MODEL))
+    model = cut_small(_passed(rows, _WIDTH, starts).groupBy("grp").applyInPandas(_starts, _MODEL))
     quarters.unpersist()
     for _ in range(steps):
         held = spark.sparkContext.broadcast(_held(model, STARTS))
@@ -277,7 +277,7 @@ def _estimates(rows: DataFrame, turn: int, turns: int, steps: int) -> DataFrame:
             for start in range(STARTS):
                 sums.add(some, start, own, _bin(squared_distance(x[at], mean[own, start], root[own, start])), moments)
 
-        model = cut(_passed(rows, _WIDTH, concentrate).groupBy("grp").applyInPandas(_concentrated, _MODEL))
+        model = cut_small(_passed(rows, _WIDTH, concentrate).groupBy("grp").applyInPandas(_concentrated, _MODEL))
         held.unpersist()
     return model.mapInPandas(lambda frames: (_least(f) for f in frames if len(f)), _MODEL)
 
@@ -322,7 +322,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     joined = groups.join(level("s", "grp"), "grp").join(level("l", "wide"), "wide")
     one = found.where("grp = 'a'").first()
     whole = (np.array(one["mean"]), np.array(one["cov"])) if one else (np.zeros(_P), np.zeros(_P * _P))
-    models = cut(joined.mapInPandas(lambda frames: (_shrunk(f, whole) for f in frames if len(f)), _MODEL))
+    models = cut_small(joined.mapInPandas(lambda frames: (_shrunk(f, whole) for f in frames if len(f)), _MODEL))
 
     plain = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     part = F.pmod(F.crc32(F.col("grp").cast("binary")), F.lit(turns))

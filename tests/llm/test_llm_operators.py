@@ -266,6 +266,23 @@ def test_votes_of_long_items(spark):
     assert [r.x for r in wide] == [value] * 3
 
 
+def test_worker_memory(spark):
+    """Vectorised steps hold a few dozen MB whatever the batch, and models of a few groups make few files."""
+    import tracemalloc
+
+    from quadrille.llm.common import cut_small, row_chunks
+
+    buf = np.frombuffer(b"some words of a text, and more of them " * 100_000, np.uint8)
+    offs = np.arange(0, len(buf) + 1, 3900)
+    tracemalloc.start()
+    for lo, hi in row_chunks(offs):
+        Words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lower=True).shingles(5)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 40
+    assert cut_small(spark.range(0, 100, 1, 50)).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+
+
 def test_repeats(docs, rows, none):
     first, want = {}, {}
     for i, text, *_ in rows:

@@ -331,6 +331,9 @@ def _bisect(value, target: float, low: float = -0.99, high: float = 10.0) -> flo
     """The yield at which a falling price reaches the target."""
     for _ in range(200):
         middle = (low + high) / 2
+        if middle in (low, high):
+            # Neighbours: further steps would end here too.
+            return middle
         low, high = (middle, high) if value(middle) > target else (low, middle)
     return (low + high) / 2
 

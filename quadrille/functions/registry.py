@@ -112,19 +112,35 @@ def _plain(x):
     return x.item() if hasattr(x, "item") and not hasattr(x, "__len__") else x
 
 
+def _alike(columns: tuple[pd.Series, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct list of arguments, and which of them each row has; floats are told apart by their bits."""
+    code = np.zeros(len(columns[0]), dtype="int64")
+    for c in columns:
+        own = pd.factorize(c.to_numpy().view("int64") if c.dtype == "float64" else c)[0] + 1
+        code = pd.factorize(code * (own.max(initial=0) + 1) + own)[0]
+    return np.unique(code, return_index=True)[1], code
+
+
 def arrow_udf(function: Callable, returns: str) -> Callable[..., Column]:
-    """A pandas UDF that applies a function of plain values; errors and NULL arguments give NULL."""
+    """A pandas UDF that applies a function of plain values; errors and NULL arguments give NULL.
+
+    Of each batch the function sees a list of arguments once: a formula's literals come with every row.
+    """
 
     def run(*columns: pd.Series) -> pd.Series:
         out = []
-        for row in zip(*columns, strict=True):
+        # Arrays have no hash.
+        lists = any(hasattr(x, "__len__") and not isinstance(x, str) for c in columns if c.dtype == "object" for x in c)
+        firsts, code = (None, None) if lists else _alike(columns)
+        for row in zip(*(columns if lists else (c.iloc[firsts] for c in columns)), strict=True):
             try:
                 values = [_plain(x) for x in row]
                 found = None if any(v is None for v in values) else function(*values)
                 out.append(None if isinstance(found, float) and not abs(found) < float("inf") else found)
             except (FormulaError, ArithmeticError, ValueError, IndexError):
                 out.append(None)
-        return pd.Series(out, dtype="float64" if returns in ("num", "date") else "object")
+        out = pd.Series(out, dtype="float64" if returns in ("num", "date") else "object")
+        return out if lists else out.take(code).reset_index(drop=True)
 
     def first(a: pd.Series, *rest: pd.Series) -> pd.Series:
         return run(a, *rest)

@@ -203,3 +203,35 @@ def test_vector_kernels_and_errors(spark):
             assert (r[n] == pytest.approx(p, abs=1e-12) and r[f"{n}__err"] is None) if good else (r[n], r[f"{n}__err"]) == (None, "#NUM!"), (n, p, k)
         assert r["expon"] == (pytest.approx(1 - math.exp(-k * p)) if k > 0 else None)
         assert r["weibull"] == (pytest.approx(k / 2 * (p / 2) ** (k - 1) * math.exp(-((p / 2) ** k))) if k > 0 else None)
+
+
+def test_kernel_batches(spark):
+    """A batch's repeated arguments are computed once, and equal to each row on its own; zeros of both signs differ."""
+    import pandas as pd
+
+    from quadrille.functions.registry import FormulaError, arrow_udf
+
+    calls = []
+
+    def inverse(x, text, k):
+        calls.append(x)
+        if k == 7:
+            raise FormulaError("#NUM!")
+        return math.copysign(k, x) + len(text)
+
+    run = arrow_udf(inverse, "num").func
+    rows = [(0.0, "a", 1), (-0.0, "a", 1), (0.0, "a", 1), (None, "a", 1), (2.0, None, 1), (2.0, "bc", 7), (2.0, "bc", 3)] * 50
+    got = run(*(pd.Series(c) for c in zip(*rows, strict=True)))
+    assert got.astype("object").where(got.notna(), None).tolist() == [2.0, 0.0, 2.0, None, None, None, 5.0] * 50
+    assert len(calls) == 4
+    lists = arrow_udf(lambda v, k: float(sum(v)) + k, "num").func
+    assert lists(pd.Series([[1.0, 2.0], [1.0, 2.0], [3.0]]), pd.Series([1, 1, 2])).tolist() == [4.0, 4.0, 5.0]
+    assert run(*(pd.Series([], dtype=t) for t in ("float64", "object", "int64"))).tolist() == []
+
+
+def test_bisection_stops():
+    from quadrille.functions.finance import _bisect
+
+    steps = []
+    assert _bisect(lambda y: steps.append(y) or 1 / (1 + y), 1 / 1.065) == pytest.approx(0.065, abs=1e-15)
+    assert len(steps) < 70

@@ -28,7 +28,8 @@ def lookup(left: DataFrame, right: DataFrame, on: dict[str, str], take: dict[str
 def asof_lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str, take: dict[str, str], by: dict[str, str] | None = None, below: bool = True) -> DataFrame:
     """Approximate MATCH: the nearest right row whose key is not above (or, with below=False, not below) the left's.
 
-    Both sides are united and one window carries the last right row forward, so it is a sort, not a range join.
+    Both sides are united and one window carries the last right row forward, so it is a sort, not a range join; with
+    below=False it runs down the keys, as a frame of all rows that follow would be read anew for each row.
     With ``by`` (left to right columns) windows are per group. Without, rows are dealt by ranges of the key and
     each range starts from the last right row of the ranges before it, so no task sees all rows.
     """
@@ -37,23 +38,23 @@ def asof_lookup(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     groups = list((by or {}).items())
     key = F.col(left_key)
     a = left.select(F.struct(*left.columns).alias("_left"), key.alias("_k"), F.lit(1 if below else 0).alias("_side"), F.lit(None).cast("string").alias("_n"), *(F.col(c).alias(f"_g{i}") for i, (c, _) in enumerate(groups)))
-    b = right.select(F.col(right_key).alias("_k"), F.lit(0 if below else 1).alias("_side"), row.alias("_right"), *(F.col(c).alias(f"_g{i}") for i, (_, c) in enumerate(groups)))
+    b = right.where(F.col(right_key).isNotNull()).select(F.col(right_key).alias("_k"), F.lit(0 if below else 1).alias("_side"), row.alias("_right"), *(F.col(c).alias(f"_g{i}") for i, (_, c) in enumerate(groups)))
     both = a.drop("_n").unionByName(b, allowMissingColumns=True)
     groups_ = [f"_g{i}" for i in range(len(groups))]
-    seek, frame = (F.last, (Window.unboundedPreceding, 0)) if below else (F.first, (0, Window.unboundedFollowing))
+    along = lambda *names: [F.col(n).asc_nulls_first() if below else F.col(n).desc_nulls_first() for n in names]
     if groups_:
-        w = Window.partitionBy(*groups_).orderBy("_k", "_side").rowsBetween(*frame)
-        found = both.withColumn("_hit", seek("_right", ignorenulls=True).over(w))
+        w = Window.partitionBy(*groups_).orderBy(*along("_k", "_side")).rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("_hit", F.last("_right", ignorenulls=True).over(w))
     else:
         parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         parted = fixed(both.repartitionByRange(parts, "_k").withColumn("_part", F.spark_partition_id()))
         edge = F.max_by("_right", F.struct("_k", "_side")) if below else F.min_by("_right", F.struct("_k", "_side"))
         edges = parted.where("_right is not null").groupBy("_part").agg(edge.alias("_e"))
         every = left.sparkSession.range(parts).select(F.col("id").cast("int").alias("_part")).join(edges, "_part", "left")
-        outside = (Window.unboundedPreceding, -1) if below else (1, Window.unboundedFollowing)
-        carried = every.select("_part", seek("_e", ignorenulls=True).over(Window.orderBy("_part").rowsBetween(*outside)).alias("_carried"))
-        w = Window.partitionBy("_part").orderBy("_k", "_side").rowsBetween(*frame)
-        found = parted.withColumn("_in", seek("_right", ignorenulls=True).over(w)).join(F.broadcast(carried), "_part", "left").withColumn("_hit", F.coalesce("_in", "_carried"))
+        carried = every.select("_part", F.last("_e", ignorenulls=True).over(Window.orderBy(*along("_part")).rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+        w = Window.partitionBy("_part").orderBy(*along("_k", "_side")).rowsBetween(Window.unboundedPreceding, 0)
+        hit = F.when(F.col("_k").isNotNull(), F.coalesce("_in", "_carried"))
+        found = parted.withColumn("_in", F.last("_right", ignorenulls=True).over(w)).join(F.broadcast(carried), "_part", "left").withColumn("_hit", hit)
     return found.where("_left is not null").select("_left.*", *(F.col(f"_hit.{n}").alias(k) for n, k in zip(names, take, strict=True)))
 
 

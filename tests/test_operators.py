@@ -68,6 +68,20 @@ def test_ordinals_and_asof(spark):
             assert row["near"] == ((max(side) if below else min(side)) if side else None)
 
 
+def test_asof_runs_one_way(spark):
+    """No frame of all rows that follow, which is read anew for each row; blank keys are near nothing, and nothing is near them."""
+    left = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate([("a", 1), ("a", 4), ("a", 9), ("b", 4), ("c", 4), ("b", None), (None, 4)])], "id int, g string, v int")
+    right = spark.createDataFrame([("a", 4), ("a", 6), ("b", 5), ("b", 2), ("b", None), ("a", None)], "h string, k int")
+    want = {
+        (False, True): [None, 4, 6, 2, None, None, None], (False, False): [4, 4, None, 5, None, None, None],
+        (True, True): [None, 4, 6, 4, 4, None, 4], (True, False): [2, 4, None, 4, 4, None, 4],
+    }
+    for (whole, below), near in want.items():
+        out = joins.asof_lookup(left, right, "v", "k", {"near": "k"}, None if whole else {"g": "h"}, below)
+        assert [r["near"] for r in out.orderBy("id").collect()] == near, (whole, below)
+        assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+
+
 def test_lookup_ties_and_missing(spark):
     left = spark.createDataFrame([(1,), (2,), (None,)], "k int")
     right = spark.createDataFrame([(0, 1, "a"), (1, 1, "b"), (2, None, "c")], "_r int, k int, v string")

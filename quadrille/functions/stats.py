@@ -103,7 +103,10 @@ def avedev(x: Column) -> Column:
     values = F.collect_list(x)
     n = F.size(values)
     mean = F.aggregate(values, _L(0.0), lambda a, v: a + v) / n
-    return F.when(n > 0, F.aggregate(values, _L(0.0), lambda a, v: a + F.abs(v - mean)) / n)
+    # An expression within a lambda is computed for each element; a field of a bound row is not.
+    bound = F.array(F.struct(values.alias("values"), mean.alias("mean")))
+    total = F.transform(bound, lambda s: F.aggregate(s["values"], _L(0.0), lambda a, v: a + F.abs(v - s["mean"])))[0]
+    return F.when(n > 0, total / n)
 
 
 def _percentile_exc(x: Column, k: Column) -> Column:

@@ -70,6 +70,17 @@ def with_nearest(left: DataFrame, name: str, key: Column, right: DataFrame, belo
     return keyed.join(hits, F.col(f"{name}_k") == F.col(f"{name}_w"), "left").drop(f"{name}_k", f"{name}_w")
 
 
+def with_means(df: DataFrame, by: list[str], means: dict[str, Column]) -> DataFrame:
+    """``df`` with the means of its groups as columns: an aggregation and a join, so no group is gathered."""
+    if not means:
+        return df
+    keys = [F.col(b).alias(f"_by{i}") for i, b in enumerate(by)]
+    found = df.groupBy(*keys).agg(*(F.avg(x).alias(n) for n, x in means.items()))
+    if not by:
+        return df.crossJoin(found)
+    return df.join(found, [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)])
+
+
 def semi(left: DataFrame, right: DataFrame, on: dict[str, str]) -> DataFrame:
     """Rows with COUNTIF(right, key) > 0."""
     keys = right.select(*(F.col(r).alias(f"_k{i}") for i, r in enumerate(on.values()))).distinct()

@@ -183,6 +183,7 @@ class Context:
     outer: set[str] = field(default_factory=set)  # columns of the row outside that a subquery on the same table uses
     scope: Table | None = None  # the table whose rows an aggregate's argument ranges over
     near: dict[tuple, Near] = field(default_factory=dict)  # approximate lookups of each row, to be joined
+    means: dict[str, Column] | None = None  # what AVEDEV needs the group's mean of, to be joined; None where nothing joins it
 
     def table(self, name: str | None) -> Table:
         if name is None:
@@ -550,7 +551,12 @@ class Compiler:
                         columns.append(coerced(v, letter) if letter != "a" or v.type != "array" else v.col)
                         if isinstance(a, fx.Array):
                             columns[-1].__dict__["_known"] = sum(map(len, a.rows))
-            out = self.counted(name, columns) if name in ("COUNTA", "COUNTBLANK") else found.build(*columns)
+            if name == "AVEDEV" and inline and where is None and self.ctx.means is not None and len(columns) == 1:
+                mean = f"_mean{len(self.ctx.means)}"
+                self.ctx.means[mean] = columns[0]
+                out = F.avg(F.abs(columns[0] - F.col(mean)))
+            else:
+                out = self.counted(name, columns) if name in ("COUNTA", "COUNTBLANK") else found.build(*columns)
         finally:
             self.ctx.scope, self.ctx.grouped = saved, grouped
         returns = "num" if found is None else found.returns

@@ -107,7 +107,8 @@ class Workbook:
 
     def compiler(self, table: str | None = None, grouped: bool = False) -> Compiler:
         cells = {k.lower(): (self.pivot(k), spec) for k, (_, spec) in self.pivots.items()}
-        return Compiler(Context(self.tables, self.table(table) if table else None, grouped, pivots=cells))
+        current = self.table(table) if table else None
+        return Compiler(Context(self.tables, current, grouped, pivots=cells, means=_means(current) if grouped else None))
 
     def _lanes(self, name: str, v: Value) -> list[Column]:
         out = [v.col.alias(name)]
@@ -154,7 +155,8 @@ class Workbook:
         t = self.table(table)
         compiler = self.compiler(table, grouped=True)
         out = [c for n, f in formulas.items() for c in self._lanes(n, compiler.value(fx.parse(f)))]
-        return t.df.groupBy(*by).agg(*out) if by else t.df.agg(*out)
+        df = joins.with_means(t.df, by, compiler.ctx.means or {})
+        return df.groupBy(*by).agg(*out) if by else df.agg(*out)
 
     def value(self, formula: str) -> object:
         """The one value of a formula; its error code if it has one."""
@@ -206,6 +208,11 @@ class Workbook:
         return grid(self[table], spec, list(self.table(table).order) or None)
 
 
+def _means(t: Table) -> dict[str, Column] | None:
+    """Where the means of a table's groups are noted to be joined; a stream is not joined with its own aggregate."""
+    return None if t.df.isStreaming else {}
+
+
 def _shown(v: object) -> str:
     """A cell of a mixed column as text."""
     if isinstance(v, bool):
@@ -374,14 +381,14 @@ def _groupby(wb: Workbook, table: str | None, keys: fx.Node, values: fx.Node, fu
     c = wb.compiler(table)
     t, key, _rows = c.range_of(keys)
     value = c.range_of(values)[1][0]
-    grouped = Compiler(Context(wb.tables, t, True))
+    grouped = Compiler(Context(wb.tables, t, True, means=_means(t)))
     target = fx.Structured(t.name, (value,))
     if isinstance(function, fx.Call):
         names, body = grouped.lambda_of(function)
         v = grouped.value(fx.substitute(body, {names[0]: target}))
     else:
         v = grouped.value(fx.Call(function.name.upper(), (target,)))
-    return rel.group_by(t.df, key, {"value": v.col}), key, None
+    return rel.group_by(joins.with_means(t.df, key, grouped.ctx.means or {}), key, {"value": v.col}), key, None
 
 
 @_array("PIVOTBY")
@@ -389,6 +396,7 @@ def _pivotby(wb: Workbook, table: str | None, rows: fx.Node, cols: fx.Node, valu
     c = wb.compiler(table)
     t, key, _r = c.range_of(rows)
     column, value = c.range_of(cols)[1][0], c.range_of(values)[1][0]
-    v = Compiler(Context(wb.tables, t, True)).value(fx.Call(function.name.upper(), (fx.Structured(t.name, (value,)),)))
+    grouped = Compiler(Context(wb.tables, t, True, means=_means(t)))
+    v = grouped.value(fx.Call(function.name.upper(), (fx.Structured(t.name, (value,)),)))
     items = [r[0] for r in t.df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
-    return rel.pivot_by(t.df, key, column, v.col, items), key, None
+    return rel.pivot_by(joins.with_means(t.df, [*key, column], grouped.ctx.means or {}), key, column, v.col, items), key, None

@@ -235,3 +235,30 @@ def test_bisection_stops():
     steps = []
     assert _bisect(lambda y: steps.append(y) or 1 / (1 + y), 1 / 1.065) == pytest.approx(0.065, abs=1e-15)
     assert len(steps) < 70
+
+
+def test_avedev_of_groups(spark):
+    """Group means are joined: no group is gathered, blank and missing keys are groups of their own."""
+    from quadrille.functions import fn
+
+    rows = [["a", "x", 1, 10], ["a", "y", 2, None], ["a", "x", 6, 4], [None, "x", 4, 1], [None, "x", 8, 5], ["b", "y", None, None], ["c", "y", 3, 7]]
+    wb = Workbook(spark, errors="lane").sheet("T", [["k", "c", "v", "w"], *rows], header=True)
+    spread = lambda xs: sum(abs(x - sum(xs) / len(xs)) for x in xs) / len(xs) if xs else None
+    of = lambda i, *at: [r[i] for r in rows if r[i] is not None and all(r[j] == x for j, x in at)]
+    out = wb.group("T", ["k"], {"dev": "AVEDEV([@v])", "share": "AVEDEV([@w])/SUM([@v])", "n": "COUNT([@v])"})
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    got = {r["k"]: r for r in out.collect()}
+    assert set(got) == {"a", "b", "c", None}
+    for k, r in got.items():
+        v, w = of(2, (0, k)), of(3, (0, k))
+        assert (r["dev"], r["dev__err"]) == ((pytest.approx(spread(v)), None) if v else (None, "#NUM!")) and r["n"] == len(v)
+        assert r["share"] == (pytest.approx(spread(w) / sum(v)) if v and w else None)
+    assert wb.group("T", [], {"dev": "AVEDEV([@v])"}).first()["dev"] == pytest.approx(spread(of(2)))
+    assert {r["k"]: r["value"] for r in wb.evaluate("=GROUPBY(T[k],T[v],AVEDEV)").collect()} == {k: r["dev"] for k, r in got.items()}
+    for r in wb.evaluate("=PIVOTBY(T[k],T[c],T[v],AVEDEV)").collect():
+        for c in "xy":
+            v = of(2, (0, r["k"]), (1, c))
+            assert r[c] == (pytest.approx(spread(v)) if v else None)
+    assert {r["k"]: r["d"] for r in wb["T"].groupBy("k").agg(fn("AVEDEV")(F.col("v")).alias("d")).collect()} == {k: r["dev"] for k, r in got.items()}
+    many = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v"))
+    assert [r["d"] for r in many.groupBy("g").agg(fn("AVEDEV")(F.col("v")).alias("d")).collect()] == [1250.0, 1250.0]
